@@ -70,10 +70,10 @@ def _resized(name: str, taps: str, rows: str = "gray", keys: str = "depth") -> s
 
 
 NEAREST = """steps AS (
-  WITH RECURSIVE walk(x, at) AS (
+  WITH RECURSIVE walk(x, p) AS (
     SELECT 0, CAST(64 AS DOUBLE) / 48 * 0.5
-    UNION ALL SELECT x + 1, at + CAST(64 AS DOUBLE) / 48 FROM walk WHERE x < 47
-  ) SELECT x, CAST(trunc(at) AS INTEGER) AS k FROM walk
+    UNION ALL SELECT x + 1, p + CAST(64 AS DOUBLE) / 48 FROM walk WHERE x < 47
+  ) SELECT x, CAST(trunc(p) AS INTEGER) AS k FROM walk
 ), near AS (SELECT depth, steps.x, pixel FROM gray JOIN steps ON gray.x = steps.k)"""
 
 RESIZED = f"{LINES}, {GRAY}, {_taps('taps', 64, 48)}, {_resized('small', 'taps')}"

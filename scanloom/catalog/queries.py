@@ -46,11 +46,11 @@ def query(function: Query) -> Query:
 
 
 def _rgb_rows(df: DataFrame, column: str = "rgb") -> DataFrame:
-    return df.select("depth", F.posexplode(column).alias("x", "c")).select("depth", "x", "c.r", "c.g", "c.b")
+    return pixels.unfold(df, column, "depth", value="c").select("depth", "x", "c.r", "c.g", "c.b")
 
 
 def _pixel_rows(df: DataFrame) -> DataFrame:
-    return pixels.exploded_pixels(df, "px", "depth")
+    return pixels.unfold(df, "px", "depth")
 
 
 def _image_sums(frames: DataFrame) -> DataFrame:
@@ -68,7 +68,7 @@ def _image_sums(frames: DataFrame) -> DataFrame:
 def scan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = write_csv(lines(spark, sf_dir), F.col("px"))
     scanned = csv_lines.scan_lines(spark, path, WIDTH, raw=True)
-    return scanned.select("depth", F.posexplode("px").alias("x", "value"))
+    return pixels.unfold(scanned, "px", "depth", value="value")
 
 
 @query
@@ -180,8 +180,8 @@ def resize_lines_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
         gray = gray.withColumn(method, F.col("px"))
         gray = pixels.resize_lines(gray, WIDTH, TARGET, method, method)
     # The three results are unfolded together, so the lines are read once.
-    unfolded = gray.select("depth", F.posexplode(F.arrays_zip("nearest", "bicubic", "lanczos")).alias("x", "v"))
-    return unfolded.select("depth", "x", "v.nearest", "v.bicubic", "v.lanczos")
+    together = gray.withColumn("v", F.arrays_zip("nearest", "bicubic", "lanczos"))
+    return pixels.unfold(together, "v", "depth", value="v").select("depth", "x", "v.nearest", "v.bicubic", "v.lanczos")
 
 
 @query
@@ -204,9 +204,8 @@ def resize_images(spark: SparkSession, sf_dir: str) -> DataFrame:
         "image", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda y: F.slice("px", y * 8 + 1, F.lit(8)))
     )
     coloured = pixels.colour_images(pixels.resize_images(square, 8, 6))
-    rows = coloured.select("depth", F.posexplode("rgb").alias("y", "row"))
-    cells = rows.select("depth", "y", F.posexplode("row").alias("x", "c"))
-    return cells.select("depth", "y", "x", "c.r", "c.g", "c.b")
+    rows = pixels.unfold(coloured, "rgb", "depth", value="row").withColumnRenamed("x", "y")
+    return pixels.unfold(rows, "row", "depth", "y", value="c").select("depth", "y", "x", "c.r", "c.g", "c.b")
 
 
 # Reads
@@ -392,7 +391,7 @@ def size_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def line_gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
     gray = pixels.clamp_pixels(lines(spark, sf_dir), WIDTH)
-    return quality.line_gradients(pixels.resize_lines(gray, WIDTH, TARGET))
+    return quality.line_gradients(pixels.resize_lines(gray, WIDTH, TARGET), TARGET)
 
 
 @query

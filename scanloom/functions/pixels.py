@@ -27,7 +27,8 @@ MAX_WRITTEN_TERMS = 4000
 _HALF = 1 << (SCALE_BITS - 1)
 
 
-def _of_width(column: str, width: int, body: str) -> str:
+def of_width(column: str, width: int, body: str) -> str:
+    """SQL for ``body`` where the array has this width, else null."""
     return f"CASE WHEN exists(array(size({column})), n -> n = {width}) THEN {body} END"
 
 
@@ -42,10 +43,10 @@ def clamp_pixels(df: DataFrame, width: int | None = None, column: str = "px") ->
     if width is None or width > MAX_WRITTEN_TERMS:
         body = f"transform({name}, v -> {_clamped('CAST(v AS DOUBLE)')})"
         if width is not None:
-            body = _of_width(name, width, body)
+            body = of_width(name, width, body)
     else:
         cells = ", ".join(_clamped(f"CAST({name}[{k}] AS DOUBLE)") for k in range(width))
-        body = _of_width(name, width, f"array({cells})")
+        body = of_width(name, width, f"array({cells})")
     return df.withColumn(column, F.expr(body))
 
 
@@ -90,7 +91,7 @@ def resize_lines(
     if source == target:
         return df
     body = _resized(f"`{column}`", taps(source, target, method), method in ("bicubic", "lanczos"))
-    return df.withColumn(column, F.expr(_of_width(f"`{column}`", source, body)))
+    return df.withColumn(column, F.expr(of_width(f"`{column}`", source, body)))
 
 
 def resize_images(
@@ -132,6 +133,11 @@ def colour_images(
     )
 
 
-def exploded_pixels(df: DataFrame, column: str, *keys: str) -> DataFrame:
-    """One row per pixel: the keys, position ``x`` from 0, ``pixel``."""
-    return df.select(*keys, F.posexplode(column).alias("x", "pixel"))
+def unfold(df: DataFrame, column: str, *keys: str, value: str = "pixel") -> DataFrame:
+    """One row per array element: the keys, position ``x`` from 0, the element.
+
+    The outer form keeps Spark from testing the array's size below the
+    projections, which would compute every pixel a second time.
+    """
+    rows = df.select(*keys, F.posexplode_outer(column).alias("x", value))
+    return rows.where(F.col("x").isNotNull())

@@ -38,7 +38,7 @@ def upsert_frames(
     now: datetime,
     keys: Sequence[str] = ("depth",),
     payload: Sequence[str] = PAYLOAD,
-    by_range: bool = False,
+    range_tasks: int | None = None,
 ) -> DataFrame:
     """Insert or replace by depth.
 
@@ -48,8 +48,8 @@ def upsert_frames(
     one that occurred more than once, as its later copies replaced the first.
 
     Both sides go through a single shuffle: they are stacked and grouped by
-    depth, at most two rows to a group. With ``by_range`` that shuffle leaves
-    the rows range-partitioned by the keys, ready to be written in key order.
+    depth, at most two rows to a group. With ``range_tasks`` that shuffle leaves
+    the rows in so many ranges of the keys, ready to be written in key order.
     """
     moment = F.lit(now).cast("timestamp")
     kept = current.select(
@@ -69,8 +69,8 @@ def upsert_frames(
         F.col("times_seen").cast("long").alias("times_seen"),
     )
     stacked = kept.unionByName(added)
-    if by_range:
-        stacked = stacked.repartitionByRange(*keys)
+    if range_tasks is not None:
+        stacked = stacked.repartitionByRange(range_tasks, *keys)
     merged = stacked.groupBy(*keys).agg(
         F.max_by(F.struct(*payload), F.col("_new")).alias("_row"),
         F.max("created_at").alias("_created"),

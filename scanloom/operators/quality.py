@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scanloom.functions.pixels import of_width
+
 
 def _steps(column: str) -> Column:
     """Differences of neighbouring pixels; empty for lines of one pixel."""
@@ -13,15 +15,21 @@ def _steps(column: str) -> Column:
     return F.zip_with(F.slice(px, F.lit(2), count), F.slice(px, F.lit(1), count), lambda b, a: b - a)
 
 
-def line_gradients(df: DataFrame, column: str = "px", tolerance: int = 1) -> DataFrame:
-    """Smallest and largest step per line, and whether it never falls by more than ``tolerance``."""
-    steps = df.select("depth", _steps(column).alias("_steps"))
+def line_gradients(df: DataFrame, width: int | None = None, column: str = "px", tolerance: int = 1) -> DataFrame:
+    """Smallest and largest step per line, and whether it never falls by more than ``tolerance``.
+
+    With ``width`` the steps are written out; lines of another width get nulls.
+    """
+    if width is None:
+        steps = _steps(column)
+    else:
+        terms = ", ".join(f"`{column}`[{k + 1}] - `{column}`[{k}]" for k in range(width - 1))
+        steps = F.expr(of_width(f"`{column}`", width, f"array({terms})"))
+    lines = df.select("depth", steps.alias("_steps"))
     low = F.array_min("_steps")
-    return steps.select(
-        "depth",
-        low.alias("min_step"),
-        F.array_max("_steps").alias("max_step"),
-        F.coalesce(low >= -tolerance, F.lit(True)).alias("rising"),
+    rising = F.when(F.size("_steps") == 0, True).otherwise(low >= -tolerance)
+    return lines.select(
+        "depth", low.alias("min_step"), F.array_max("_steps").alias("max_step"), rising.alias("rising")
     )
 
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass
-from datetime import datetime, timezone
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scanloom.operators import reports
-from scanloom.operators.keyed import file_order
+from scanloom.operators.keyed import PAYLOAD, file_order
 from scanloom.operators.numbering import number_file_rows
 from scanloom.plans.process import process_lines
 from scanloom.session import drop_path
@@ -71,28 +72,17 @@ def load_lines(
     """
     spark, started = table.spark, time.monotonic()
     kept = f"{table.root}/loads/{load_id}"
-    if not table.has_load(load_id):
-        frames = process_lines(lines, source_width, target_width, clamped=True)
-        (
-            frames.withColumn("ok", F.col("reject").isNull())
-            .write.partitionBy("ok")
-            .mode("overwrite")
-            .parquet(f"{kept}/rows")
-        )
-        staged = spark.read.schema(staged_schema(frames)).parquet(f"{kept}/rows")
-        staged.drop("image_png", "width", "height").write.mode("overwrite").parquet(f"{kept}/record")
-        table.merge_staged(staged.where("ok"), file_order(), load_id, now, replace_all=clear_existing)
+    frames = process_lines(lines, source_width, target_width, clamped=True)
+    record = T.StructType([f for f in frames.schema if f.name not in PAYLOAD])
+    base = table.version(load_id)
+    if not base.done:
+        staged = frames.withColumn("ok", F.col("reject").isNull())
+        staged.write.partitionBy("ok").mode("overwrite").parquet(f"{kept}/rows")
+        staged = spark.read.schema(staged.schema).parquet(f"{kept}/rows")
+        staged.select(*record.names).write.mode("overwrite").parquet(f"{kept}/record")
+        table.merge_staged(staged.where("ok"), file_order(), load_id, base, now, replace_all=clear_existing)
         drop_path(spark, f"{kept}/rows")
-    flagged = spark.read.parquet(f"{kept}/record")
+    flagged = spark.read.schema(record).parquet(f"{kept}/record")
     seconds = time.monotonic() - started
     summary = reports.load_summary(flagged, batch_size, source_width, target_width, seconds)
     return LoadReport(summary, reports.load_status(summary), reports.quarantine(flagged)[1], flagged)
-
-
-def staged_schema(frames: DataFrame) -> str:
-    """Schema of the staged rows with their partition column, known without reading them."""
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema) + ", ok boolean"
-
-
-def utc_now() -> datetime:
-    return datetime.now(timezone.utc)

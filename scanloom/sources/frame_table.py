@@ -16,11 +16,15 @@ lets a range read skip the folders outside its bounds.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from dataclasses import dataclass
 from datetime import datetime, timezone
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from scanloom.operators import keyed
 from scanloom.operators.ranges import depth_range
@@ -55,6 +59,33 @@ LOG = T.StructType(
 LAST_ZONE = float(1 << 52)
 
 
+# Frames per write task: few enough for a small load to use all cores, then
+# about 400 MB a task, then as many as it takes to stay below MOST_TASKS.
+SMALL_TASK, FULL_TASK, MOST_TASKS = 20_000, 1_000_000, 20_000
+
+
+def write_tasks(rows: int, cores: int) -> int:
+    """Number of range partitions, and so at least of files, for a write of ``rows`` frames."""
+    spread = min(cores, -(-rows // SMALL_TASK))
+    return max(1, spread, min(MOST_TASKS, -(-rows // FULL_TASK)))
+
+
+@dataclass(frozen=True)
+class Version:
+    """A version of the table as the log tells it; as long as the list of zones."""
+
+    number: int
+    generations: dict[int, str]
+    rows: dict[int, int]
+    done: bool
+
+    def folders(self, zones: Iterable[int]) -> list[tuple[int, str]]:
+        return [(z, self.generations[z]) for z in zones if z in self.generations]
+
+    def rows_in(self, zones: Iterable[int]) -> int:
+        return sum(self.rows.get(z, 0) for z in zones)
+
+
 class FrameTable:
     """Opens the table at ``root``; creates it if it is missing."""
 
@@ -67,7 +98,7 @@ class FrameTable:
             self.zone_width = self._log().agg(F.max("zone_width")).first()[0]
         else:
             self.zone_width = float(zone_width)
-            self._append_log(spark.createDataFrame([(0, "create", None, None, 0, None, None, self.zone_width)], LOG))
+            self._append_log([(0, "create", None, None, 0, None, None, self.zone_width)])
 
     # Reading
 
@@ -86,14 +117,32 @@ class FrameTable:
             .where(F.col("gen").isNotNull())
         )
 
-    def _folders(self, zones: DataFrame) -> list[str]:
-        # The list is bounded by the number of zones, not by frames.
-        return [f"{self.root}/data/zone={z.zone}/gen={z.gen}" for z in zones.select("zone", "gen").collect()]
+    def version(self, load_id: str | None = None) -> Version:
+        """The current version, and whether ``load_id`` is in it."""
+        rows = (
+            self._log()
+            .groupBy("zone")
+            .agg(
+                F.max_by(F.struct("gen", "rows"), "version").alias("now"),
+                F.max("version").alias("version"),
+                F.bool_or(F.col("load_id") == F.lit(load_id)).alias("done"),
+            )
+            .collect()
+        )
+        live = {row.zone: row.now for row in rows if row.zone is not None and row.now.gen is not None}
+        return Version(
+            max(row.version for row in rows),
+            {zone: now.gen for zone, now in live.items()},
+            {zone: now.rows for zone, now in live.items()},
+            any(row.done for row in rows),
+        )
 
-    def _stored(self, folders: list[str]) -> DataFrame:
-        if not folders:
-            return self.spark.createDataFrame([], STORED)
-        return self.spark.read.schema(STORED).option("basePath", f"{self.root}/data").parquet(*folders)
+    def _stored(self, folders: Iterable[tuple[int, str]]) -> DataFrame:
+        paths = [f"{self.root}/data/zone={zone}/gen={gen}" for zone, gen in folders]
+        if not paths:
+            nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in STORED]
+            return self.spark.range(0).select(*nothing)
+        return self.spark.read.schema(STORED).option("basePath", f"{self.root}/data").parquet(*paths)
 
     def read(self, depth_min: float | None = None, depth_max: float | None = None) -> DataFrame:
         """Frames, within inclusive bounds if given; folders outside them are not opened."""
@@ -102,8 +151,8 @@ class FrameTable:
             zones = zones.where(F.col("depth_max") >= F.lit(float(depth_min)))
         if depth_max is not None:
             zones = zones.where(F.col("depth_min") <= F.lit(float(depth_max)))
-        rows = self._stored(self._folders(zones)).select(*FRAME.fieldNames())
-        return depth_range(rows, depth_min, depth_max)
+        folders = [(row.zone, row.gen) for row in zones.select("zone", "gen").collect()]
+        return depth_range(self._stored(folders).select(*FRAME.fieldNames()), depth_min, depth_max)
 
     def metrics(self) -> DataFrame:
         """Total frames and depth extent, from the log alone."""
@@ -120,12 +169,6 @@ class FrameTable:
         number = F.floor(F.least(F.greatest(depth / F.lit(self.zone_width), F.lit(-LAST_ZONE)), F.lit(LAST_ZONE)))
         return number.cast("long")
 
-    def staging(self, load_id: str) -> str:
-        return f"{self.root}/staging/{load_id}"
-
-    def has_load(self, load_id: str) -> bool:
-        return not self._log().where(F.col("load_id") == load_id).isEmpty()
-
     def upsert(
         self,
         frames: DataFrame,
@@ -139,13 +182,15 @@ class FrameTable:
         it depths must not repeat. A ``load_id`` already in the log is skipped,
         so a repeated call changes nothing.
         """
-        if self.has_load(load_id):
+        base = self.version(load_id)
+        if base.done:
             return
-        path = self.staging(load_id)
+        path = f"{self.root}/staging/{load_id}"
         rank = order if order is not None else F.lit(0)
-        frames.select("depth", *keyed.PAYLOAD, rank.alias("_order")).write.mode("overwrite").parquet(path)
-        staged = self.spark.read.parquet(path)
-        self.merge_staged(staged, F.col("_order"), load_id, now, unordered=order is None)
+        chosen = frames.select("depth", *keyed.PAYLOAD, rank.alias("_order"))
+        chosen.write.mode("overwrite").parquet(path)
+        staged = self.spark.read.schema(chosen.schema).parquet(path)
+        self.merge_staged(staged, F.col("_order"), load_id, base, now, ordered=order is not None)
         drop_path(self.spark, path)
 
     def merge_staged(
@@ -153,9 +198,10 @@ class FrameTable:
         staged: DataFrame,
         order: Column,
         load_id: str,
+        base: Version,
         now: datetime | None = None,
         replace_all: bool = False,
-        unordered: bool = False,
+        ordered: bool = True,
     ) -> None:
         """Merge rows read back from a stored table, which is scanned more than once here."""
         now = now or datetime.now(timezone.utc)
@@ -165,49 +211,63 @@ class FrameTable:
             incoming.groupBy("zone", "depth")
             .agg(F.count("*").alias("_times"))
             .groupBy("zone")
-            .agg(F.max("_times").alias("_times"))
+            .agg(F.max("_times").alias("_times"), F.count("*").alias("_depths"))
             .collect()
         )
-        touched = [row.zone for row in per_zone]
-        repeated = any(row["_times"] > 1 for row in per_zone)
-        if repeated and unordered:
-            raise ValueError("a depth occurs more than once: say which row is the last by `order`")
+        touched = {row.zone for row in per_zone}
+        rows = sum(row["_depths"] for row in per_zone)
         # Only repeated depths need the extra shuffle that keeps the last of each.
-        if repeated:
+        if any(row["_times"] > 1 for row in per_zone):
+            if not ordered:
+                raise ValueError("a depth occurs more than once: say which row is the last by `order`")
             incoming = keyed.last_wins(incoming, order, keys=("zone", "depth"))
         else:
             incoming = incoming.withColumn("times_seen", F.lit(1))
-        live = self.zones()
         if replace_all:
             current = self._stored([])
-            emptied = [z.zone for z in live.select("zone").collect()]
+            touched |= base.generations.keys()
         else:
-            current = self._stored(self._folders(live.where(F.col("zone").isin(touched))))
-            emptied = []
-        merged = keyed.upsert_frames(current, incoming, now, keys=("zone", "depth"), by_range=True)
-        self._publish(merged, sorted({*touched, *emptied}), load_id)
+            current = self._stored(base.folders(touched))
+            rows += base.rows_in(touched)
+        tasks = self._tasks(rows)
+        merged = keyed.upsert_frames(current, incoming, now, keys=("zone", "depth"), range_tasks=tasks)
+        self._publish(merged, touched, load_id, base)
 
     def delete(self, keys: DataFrame, load_id: str) -> DataFrame:
-        """Remove the depths in ``keys``; returns which of them were there."""
-        doomed = keys.select(F.col("depth").cast("double")).distinct().withColumn("zone", self.zone_of(F.col("depth")))
-        touched = [row.zone for row in doomed.select("zone").distinct().collect()]
-        folders = self._folders(self.zones().where(F.col("zone").isin(touched)))
-        report = keyed.deletion_report(self._stored(folders), keys)
-        if not self.has_load(load_id):
-            current = self._stored(folders)
-            left = keyed.delete_frames(current, keys).repartitionByRange("zone", "depth")
-            self._publish(left, touched, load_id)
-        return report
+        """Remove the depths in ``keys``; returns which of them were there.
+
+        The keys are written down first, so that the answer and the deletion
+        use the same ones.
+        """
+        base = self.version(load_id)
+        if base.done:
+            raise ValueError(f"deletion {load_id!r} was done before")
+        path = f"{self.root}/staging/{load_id}"
+        depth = F.col("depth").cast("double")
+        doomed = keys.select(depth.alias("depth")).distinct().withColumn("zone", self.zone_of(depth))
+        doomed.write.mode("overwrite").parquet(path)
+        doomed = self.spark.read.schema(doomed.schema).parquet(path)
+        touched = {row.zone for row in doomed.select("zone").distinct().collect()}
+        current = self._stored(base.folders(touched))
+        left = keyed.delete_frames(current, doomed).repartitionByRange(
+            self._tasks(base.rows_in(touched)), "zone", "depth"
+        )
+        self._publish(left, touched & base.generations.keys(), load_id, base)
+        return keyed.deletion_report(current, doomed)
 
     def clear(self, load_id: str) -> None:
         """Remove all frames."""
-        if not self.has_load(load_id):
-            zones = [row.zone for row in self.zones().select("zone").collect()]
-            self._publish(self._stored([]), zones, load_id)
+        base = self.version(load_id)
+        if not base.done:
+            self._publish(self._stored([]), base.generations.keys(), load_id, base)
+
+    def _tasks(self, rows: int) -> int:
+        return write_tasks(rows, self.spark.sparkContext.defaultParallelism)
 
-    def _publish(self, rows: DataFrame, touched: list[int], load_id: str) -> None:
-        """Write a new generation of the touched zones, then its log entry."""
-        if touched:
+    def _publish(self, rows: DataFrame, touched: Iterable[int], load_id: str, base: Version) -> None:
+        """Write a new generation of the touched zones, then its log entries."""
+        zones = sorted(touched)
+        if zones:
             (
                 rows.select(*FRAME.fieldNames(), "zone", F.lit(load_id).alias("gen"))
                 .sortWithinPartitions("zone", "depth")
@@ -216,33 +276,25 @@ class FrameTable:
                 .option("partitionOverwriteMode", "dynamic")
                 .parquet(f"{self.root}/data")
             )
-        written = self._written(load_id, touched)
-        version = self._log().agg(F.max("version")).first()[0] + 1
-        zones = self.spark.createDataFrame([(z,) for z in touched] or [(None,)], "zone long")
-        entries = zones.join(written, "zone", "left").select(
-            F.lit(version).cast("long").alias("version"),
-            F.lit(load_id).alias("load_id"),
-            "zone",
-            F.when(F.col("rows") > 0, F.lit(load_id)).alias("gen"),
-            F.coalesce("rows", F.lit(0)).cast("long").alias("rows"),
-            "depth_min",
-            "depth_max",
-            F.lit(self.zone_width).alias("zone_width"),
-        )
+        written = self._written(load_id)
+        entry = (base.number + 1, load_id)
+        entries = []
+        for zone in zones or [None]:
+            count, low, high = written.get(zone, (0, None, None))
+            entries.append((*entry, zone, load_id if count else None, count, low, high, self.zone_width))
         self._append_log(entries)
 
-    def _written(self, load_id: str, touched: list[int]) -> DataFrame:
+    def _written(self, load_id: str) -> dict[int, tuple[int, float, float]]:
+        """Rows and extent per zone of a generation, from its depth column."""
         pattern = f"{self.root}/data/zone=*/gen={load_id}"
-        found = touched and path_exists(self.spark, pattern)
-        stored = (
-            self.spark.read.schema(STORED).option("basePath", f"{self.root}/data").parquet(pattern)
-            if found
-            else self._stored([])
-        )
-        return stored.groupBy("zone").agg(
-            F.count("*").alias("rows"), F.min("depth").alias("depth_min"), F.max("depth").alias("depth_max")
-        )
+        if not path_exists(self.spark, pattern):
+            return {}
+        stored = self.spark.read.schema(STORED).option("basePath", f"{self.root}/data").parquet(pattern)
+        extents = stored.groupBy("zone").agg(F.count("*"), F.min("depth"), F.max("depth"))
+        return {zone: tuple(rest) for zone, *rest in extents.collect()}
 
-    def _append_log(self, entries: DataFrame) -> None:
+    def _append_log(self, entries: list[tuple]) -> None:
         # One file per version, so that the version appears all at once.
-        entries.coalesce(1).write.mode("append").parquet(f"{self.root}/log")
+        columns = [pa.array(c, t) for c, t in zip(zip(*entries), to_arrow_schema(LOG).types)]
+        rows = pa.table(columns, names=LOG.fieldNames())
+        self.spark.createDataFrame(rows).coalesce(1).write.mode("append").parquet(f"{self.root}/log")
