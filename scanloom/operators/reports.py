@@ -9,6 +9,14 @@ BYTES_PER_FRAME = 10 * 1024
 MEGABYTE = 1024 * 1024
 
 
+def side_by_side(*frames: DataFrame) -> DataFrame:
+    """One-row frames as one row, without a join."""
+    stacked = frames[0]
+    for frame in frames[1:]:
+        stacked = stacked.unionByName(frame, allowMissingColumns=True)
+    return stacked.agg(*[F.any_value(c, F.lit(True)).alias(c) for c in stacked.columns])
+
+
 def quarantine(flagged: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Good rows and rejected rows."""
     return flagged.where(F.col("reject").isNull()), flagged.where(F.col("reject").isNotNull())
@@ -118,9 +126,7 @@ def validate_load(summary: DataFrame, table: DataFrame) -> DataFrame:
         F.min("depth").alias("depth_min"),
         F.max("depth").alias("depth_max"),
     )
-    # Two one-row frames, put side by side on a constant key.
-    left, right = summary.withColumn("_k", F.lit(1)), held.withColumn("_k", F.lit(1))
-    return left.join(F.broadcast(right), "_k").select(
+    return side_by_side(summary.select("rows_read", "rows_stored"), held).select(
         "rows_read",
         "rows_stored",
         "table_count",

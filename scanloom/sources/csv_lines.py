@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scanloom.operators.reports import side_by_side
+
 # Cell texts read as "no value", besides the empty cell.
 MISSING_TEXTS = (
     "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -145,13 +147,7 @@ def profile_lines(spark: SparkSession, path: str, sample_rows: int = 5) -> DataF
             F.array(*[F.lit(c) for c in names]), F.array(*[_kind(F.col(c)) for c in cells])
         ).alias("column_types"),
     )
-    one = F.lit(1).alias("_k")
-    joined = (
-        counted.select("*", one)
-        .join(F.broadcast(size.select("*", one)), "_k")
-        .join(F.broadcast(kinds.select("*", one)), "_k")
-    )
-    return joined.select(
+    return side_by_side(counted, size, kinds).select(
         "num_rows",
         F.lit(len(names)).alias("num_cols"),
         F.lit(names[0]).alias("first_column"),

@@ -36,12 +36,12 @@ def test_whole_load(spark, table, write_lines):
 
 
 def test_partial_load(spark, table, write_lines):
-    path = write_lines([[100, *ramp()], [200, "abc", *ramp(199)], [300, *ramp()]])
-    report = reload_frames(spark, table, path, "one", now=T1)
+    path = write_lines([[100, *ramp(8)], [200, "abc", *ramp(7)], [300, *ramp(8)]], 8)
+    report = reload_frames(spark, table, path, "one", 8, 6, now=T1)
     assert sorted(held(table)) == [100.0, 300.0]
     (summary,) = report.summary.collect()
     assert (summary.rows_read, summary.rows_stored, summary.rows_failed) == (3, 2, 1)
-    assert (summary.batches, summary.batch_size, summary.source_width, summary.target_width) == (1, 500, 200, 150)
+    assert (summary.batches, summary.batch_size, summary.source_width, summary.target_width) == (1, 500, 8, 6)
     assert summary.duration_seconds > 0 and summary.rows_per_second > 0
     (status,) = report.status.collect()
     assert status.status == "partial"
@@ -55,12 +55,12 @@ def test_partial_load(spark, table, write_lines):
 
 
 def test_second_run_changes_only_the_update_time(spark, table, write_lines):
-    path = write_lines([[k, *ramp(start=k)] for k in range(20)])
-    reload_frames(spark, table, path, "one", now=T1)
+    path = write_lines([[k, *ramp(8, k)] for k in range(20)], 8)
+    reload_frames(spark, table, path, "one", 8, 6, now=T1)
     first = held(table)
-    reload_frames(spark, table, path, "one", now=T2)
+    reload_frames(spark, table, path, "one", 8, 6, now=T2)
     assert held(table) == first
-    reload_frames(spark, table, path, "two", now=T2)
+    reload_frames(spark, table, path, "two", 8, 6, now=T2)
     assert held(table) == {d: (*v[:4], 2) for d, v in first.items()}
 
 
@@ -84,8 +84,8 @@ def test_last_row_in_file_order_wins(spark, table, write_lines):
 
 def test_clear_existing(spark, table, write_lines):
     table.upsert(frames(spark, (5, b"old"), (700, b"old")), "old", now=T1)
-    path = write_lines([[5, *ramp()]])
-    reload_frames(spark, table, path, "new", clear_existing=True, now=T2)
+    path = write_lines([[5, *ramp(8)]], 8)
+    reload_frames(spark, table, path, "new", 8, 6, clear_existing=True, now=T2)
     got = held(table)
     assert list(got) == [5.0] and got[5.0][3:] == (2, None)
 
@@ -100,13 +100,13 @@ def test_checks_come_before_clearing(spark, table, write_lines, tmp_path):
 
 
 def test_header_only_load(spark, table, write_lines):
-    report = reload_frames(spark, table, write_lines([]), "none", now=T1)
+    report = reload_frames(spark, table, write_lines([], 8), "none", 8, 6, now=T1)
     assert held(table) == {}
     assert report.summary.collect()[0].rows_read == 0
 
 
 def test_size_estimate(spark, table, write_lines):
-    reload_frames(spark, table, write_lines([[k, *ramp()] for k in range(4)]), "one", now=T1)
+    reload_frames(spark, table, write_lines([[k, *ramp(8)] for k in range(4)], 8), "one", 8, 6, now=T1)
     (size,) = reports.size_estimate(table.read(), seconds=2.0).collect()
     assert size.frames == 4 and size.image_bytes > 4 * 57
     assert size.estimated_mb == 4 * 10240 / 2**20 and size.mb_per_second == size.estimated_mb / 2
