@@ -32,6 +32,19 @@ def last_wins(
     )
 
 
+def new_frames(
+    incoming: DataFrame, now: datetime, keys: Sequence[str] = ("depth",), payload: Sequence[str] = PAYLOAD
+) -> DataFrame:
+    """What :func:`upsert_frames` gives when there are no frames yet, without grouping."""
+    moment = F.lit(now).cast("timestamp")
+    return incoming.select(
+        *keys,
+        *payload,
+        moment.alias("created_at"),
+        F.when(F.col("times_seen") > 1, moment).alias("updated_at"),
+    )
+
+
 def upsert_frames(
     current: DataFrame,
     incoming: DataFrame,

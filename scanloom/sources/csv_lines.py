@@ -22,8 +22,9 @@ MISSING_TEXTS = (
 
 SURPLUS = "_record"
 MARK = 1000
-# Where a scanned row comes from, as SQL.
-SOURCE_PLACE = ("_metadata.file_path AS source_file", "_metadata.file_block_start AS source_block")
+# Where a scanned row comes from, as SQL. The file's metadata column would tell
+# the same, but adding it copies all text cells of every row once more.
+SOURCE_PLACE = ("input_file_name() AS source_file", "input_file_block_start() AS source_block")
 
 
 def header(spark: SparkSession, path: str) -> list[str]:
@@ -71,11 +72,16 @@ def scan_lines(spark: SparkSession, path: str, width: int = 200, raw: bool = Fal
         .option("columnNameOfCorruptRecord", SURPLUS)
         .csv(path)
     )
-    return flag_lines(cells.selectExpr("*", *SOURCE_PLACE), width, raw)
+    return with_source_row(flag_lines(cells, width, raw))
+
+
+def with_source_row(lines: DataFrame) -> DataFrame:
+    """Add ``source_row``, which grows along every split."""
+    return lines.withColumn("source_row", F.monotonically_increasing_id())
 
 
 def flag_lines(cells: DataFrame, width: int, raw: bool = False) -> DataFrame:
-    """Turn text cells with their source place into flagged lines."""
+    """Turn the text cells of a scan, or of a stream, into flagged lines."""
     names = cell_names(width)
     # Adding zero turns -0.0 into 0.0, the same key.
     depth = F.col(names[0]).try_cast("double") + F.lit(0.0)
@@ -90,9 +96,7 @@ def flag_lines(cells: DataFrame, width: int, raw: bool = False) -> DataFrame:
         .when(depth.isNull() | F.isnan(depth), F.lit("bad_depth"))
         .alias("reject"),
         F.col(names[0]).alias("depth_text"),
-        "source_file",
-        "source_block",
-        F.monotonically_increasing_id().alias("source_row"),
+        *[F.expr(place) for place in SOURCE_PLACE],
     )
     if raw:
         return lines

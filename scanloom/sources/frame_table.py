@@ -223,14 +223,15 @@ class FrameTable:
             incoming = keyed.last_wins(incoming, order, keys=("zone", "depth"))
         else:
             incoming = incoming.withColumn("times_seen", F.lit(1))
+        folders = [] if replace_all else base.folders(touched)
+        tasks = self._tasks(rows + base.rows_in(zone for zone, _ in folders))
+        by_key = ("zone", "depth")
+        if folders:
+            merged = keyed.upsert_frames(self._stored(folders), incoming, now, by_key, range_tasks=tasks)
+        else:
+            merged = keyed.new_frames(incoming, now, by_key).repartitionByRange(tasks, *by_key)
         if replace_all:
-            current = self._stored([])
             touched |= base.generations.keys()
-        else:
-            current = self._stored(base.folders(touched))
-            rows += base.rows_in(touched)
-        tasks = self._tasks(rows)
-        merged = keyed.upsert_frames(current, incoming, now, keys=("zone", "depth"), range_tasks=tasks)
         self._publish(merged, touched, load_id, base)
 
     def delete(self, keys: DataFrame, load_id: str) -> DataFrame:

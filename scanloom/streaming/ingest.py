@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from scanloom.plans.load import load_lines
-from scanloom.sources.csv_lines import SOURCE_PLACE, SURPLUS, flag_lines, text_schema
+from scanloom.sources.csv_lines import SURPLUS, flag_lines, text_schema, with_source_row
 from scanloom.sources.frame_table import FrameTable
 
 
@@ -36,15 +36,14 @@ def stream_ingest(
         .option("maxFilesPerTrigger", files_per_batch)
         .option("recursiveFileLookup", True)
         .csv(path)
-        .selectExpr("*", *SOURCE_PLACE)
     )
+    lines = flag_lines(cells, source_width)
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        lines = flag_lines(batch, source_width)
-        load_lines(table, lines, load_name(name, batch_id), source_width, target_width, now=now)
+        load_lines(table, with_source_row(batch), load_name(name, batch_id), source_width, target_width, now=now)
 
     return (
-        cells.writeStream.foreachBatch(load)
+        lines.writeStream.foreachBatch(load)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
