@@ -1,7 +1,10 @@
 import sys
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
@@ -29,3 +32,12 @@ def write_lines(tmp_path):
 
 def ramp(width=200, start=0):
     return [(start + i) % 256 for i in range(width)]
+
+
+def make(spark, rows, ddl):
+    """A small DataFrame, handed over as Arrow data so that no Python worker is needed."""
+    schema = T.StructType.fromDDL(ddl)
+    target = to_arrow_schema(schema)
+    columns = list(zip(*rows)) if rows else [()] * len(target)
+    arrays = [pa.array(list(c), f.type) for c, f in zip(columns, target)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, names=target.names), schema)

@@ -3,6 +3,7 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import make
 from scanloom.operators import keyed
 from scanloom.sources.frame_table import FULL_TASK, MOST_TASKS, FrameTable, write_tasks
 
@@ -15,7 +16,7 @@ SCHEMA = "depth double, image_png binary, width int, height int, ord long"
 def frames(spark, *rows):
     """Rows of (depth, image) or (depth, image, width, height), in order."""
     full = [(*r, 150, 1) if len(r) == 2 else r for r in rows]
-    return spark.createDataFrame([(float(d), bytearray(i), w, h, k) for k, (d, i, w, h) in enumerate(full)], SCHEMA)
+    return make(spark, [(float(d), bytearray(i), w, h, k) for k, (d, i, w, h) in enumerate(full)], SCHEMA)
 
 
 def held(table):
@@ -94,7 +95,7 @@ def test_extreme_depths(spark, table):
 
 def test_delete(spark, table):
     table.upsert(frames(spark, (100.5, b"a"), (200, b"b")), "a", now=T1)
-    keys = spark.createDataFrame([(100.5,), (999.9,)], "depth double")
+    keys = make(spark, [(100.5,), (999.9,)], "depth double")
     report = table.delete(keys, "d")
     assert {r.depth: r.deleted for r in report.collect()} == {100.5: True, 999.9: False}
     assert sorted(held(table)) == [200.0]

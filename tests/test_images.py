@@ -4,7 +4,7 @@ import json
 import numpy as np
 import pytest
 
-from conftest import ramp
+from conftest import make, ramp
 from scanloom.functions import png
 from scanloom.functions.palette import palette
 from scanloom.operators import images, ranges
@@ -25,14 +25,14 @@ def test_png_round_trip_and_damage():
 
 def test_red_green_blue(spark):
     rgb = [(255, 0, 0), (0, 255, 0), (0, 0, 255)]
-    df = spark.createDataFrame([(1.0, rgb)], "depth double, rgb array<struct<r int, g int, b int>>")
+    df = make(spark, [(1.0, [dict(zip("rgb", c)) for c in rgb])], "depth double, rgb array<struct<r int, g int, b int>>")
     frames = images.export_images(df, "rgb")
     (row,) = images.decode_images(frames).collect()
     assert [tuple(c) for c in row.rgb] == rgb and (row.width, row.height) == (3, 1)
 
 
 def test_mixed_shapes_and_missing_lines(spark):
-    df = spark.createDataFrame(
+    df = make(spark, 
         [(1.0, [1, 2, 3, 4], 2), (2.0, [9], 1), (3.0, None, 1), (4.0, [5, 6, 7, 8], 1)],
         "depth double, px array<int>, rows int",
     )
@@ -70,7 +70,7 @@ def test_verify(spark):
 
 def test_page_json(spark):
     data = bytes(range(256)) * 2
-    df = spark.createDataFrame([(1.5, bytearray(data), 150, 1)], "depth double, image_png binary, width int, height int")
+    df = make(spark, [(1.5, bytearray(data), 150, 1)], "depth double, image_png binary, width int, height int")
     (row,) = ranges.page_json(df).collect()
     record = json.loads(row.frame_json)
     assert list(record) == ["depth", "width", "height", "image_png_base64"]

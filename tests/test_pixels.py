@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from conftest import ramp
+from conftest import make, ramp
 from scanloom.functions import pixels
 from scanloom.functions.palette import palette
 from scanloom.functions.weights import FILTERS, SCALE_BITS, taps
@@ -11,7 +11,7 @@ NAN, INF = float("nan"), float("inf")
 
 
 def lines(spark, rows, kind="int"):
-    return spark.createDataFrame([(float(i), r) for i, r in enumerate(rows)], f"depth double, px array<{kind}>")
+    return make(spark, [(float(i), r) for i, r in enumerate(rows)], f"depth double, px array<{kind}>")
 
 
 def pixel_lists(df):
@@ -98,7 +98,7 @@ def test_colours(spark):
 
 def test_images_are_resized_row_by_row(spark):
     image = np.random.default_rng(5).integers(0, 256, (10, 200)).tolist()
-    df = spark.createDataFrame([(1.0, image)], "depth double, image array<array<int>>")
+    df = make(spark, [(1.0, image)], "depth double, image array<array<int>>")
     (row,) = pixels.resize_images(df, 200, 150).collect()
     assert row.image == [resized(r, 150) for r in image]
     (row,) = pixels.colour_images(df).collect()

@@ -2,11 +2,12 @@ import random
 
 import pytest
 
+from conftest import make
 from scanloom.operators import numbering, ranges, reports
 
 
 def depths(spark, values):
-    return spark.createDataFrame([(float(v),) for v in values], "depth double")
+    return make(spark, [(float(v),) for v in values], "depth double")
 
 
 def listed(df):
@@ -83,7 +84,7 @@ def test_walk_is_ordered_disjoint_and_complete(spark):
 def test_row_numbers_with_a_key_that_fills_a_third(spark):
     rng = random.Random(5)
     rows = [(5.0 if k % 3 == 0 else rng.random() * 10, k) for k in range(6000)]
-    df = spark.createDataFrame(rows, "depth double, tie long").repartition(7)
+    df = make(spark, rows, "depth double, tie long").repartition(7)
     got = numbering.number_rows(df, "depth", "tie").orderBy("row_no").collect()
     assert [(r.depth, r.tie) for r in got] == sorted(rows)
     assert [r.row_no for r in got] == list(range(1, 6001))
@@ -91,7 +92,7 @@ def test_row_numbers_with_a_key_that_fills_a_third(spark):
 
 def test_running_totals_across_blocks(spark):
     batches = [(k, 3 + k % 4, k % 3) for k in range(2500)]
-    df = spark.createDataFrame(batches, "batch_no long, rows long, failed long")
+    df = make(spark, batches, "batch_no long, rows long, failed long")
     rows, failed, every = 0, 0, sum(b[1] for b in batches)
     got = reports.running_totals(df).orderBy("batch_no").collect()
     assert len(got) == 2500
