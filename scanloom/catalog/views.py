@@ -56,7 +56,8 @@ def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clock_text(column: str) -> Column:
-    return F.date_format(column, "yyyy-MM-dd HH:mm:ss")
+    """A moment as UTC text, whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(column, F.current_timezone()), "yyyy-MM-dd HH:mm:ss")
 
 
 def write_csv(df: DataFrame, cells: Column, depth: Column | str = "depth", split_by: str | None = None) -> str:

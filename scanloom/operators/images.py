@@ -7,13 +7,19 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import scanloom
 from scanloom.functions import png
 from scanloom.functions.palette import Rgb, check_palette, palette
 
+# The functions below travel to the workers whole, so that these need not have
+# this package installed.
+cloudpickle.register_pickle_by_value(scanloom)
+
 PNG_SIGNATURE_SQL = "X'89504E470D0A1A0A'"
 
 

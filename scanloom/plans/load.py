@@ -21,16 +21,35 @@ from scanloom.sources.frame_table import FrameTable
 
 @dataclass(frozen=True)
 class LoadReport:
-    """What a load did. ``flagged`` is the stored record of all rows, without images."""
+    """What a load did; the frames below are computed when asked for.
+
+    ``flagged`` is the stored record of all rows read, without their images.
+    """
 
-    summary: DataFrame
-    status: DataFrame
-    rejects: DataFrame
     flagged: DataFrame
+    batch_size: int
+    source_width: int
+    target_width: int
+    seconds: float
+
+    @property
+    def summary(self) -> DataFrame:
+        return reports.load_summary(
+            self.flagged, self.batch_size, self.source_width, self.target_width, self.seconds
+        )
+
+    @property
+    def status(self) -> DataFrame:
+        return reports.load_status(self.summary)
+
+    @property
+    def rejects(self) -> DataFrame:
+        return reports.quarantine(self.flagged)[1]
 
-    def batches(self, batch_size: int = 500) -> DataFrame:
+    @property
+    def batches(self) -> DataFrame:
         """Blocks of rows in file order: sizes, failures, depth extents."""
-        return reports.batch_profile(number_file_rows(self.flagged), batch_size)
+        return reports.batch_profile(number_file_rows(self.flagged), self.batch_size)
 
 
 def reload_frames(
@@ -83,6 +102,4 @@ def load_lines(
         table.merge_staged(staged.where("ok"), file_order(), load_id, base, now, replace_all=clear_existing)
         drop_path(spark, f"{kept}/rows")
     flagged = spark.read.schema(record).parquet(f"{kept}/record")
-    seconds = time.monotonic() - started
-    summary = reports.load_summary(flagged, batch_size, source_width, target_width, seconds)
-    return LoadReport(summary, reports.load_status(summary), reports.quarantine(flagged)[1], flagged)
+    return LoadReport(flagged, batch_size, source_width, target_width, time.monotonic() - started)

@@ -1,5 +1,9 @@
 import base64
 import json
+import os
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -76,3 +80,19 @@ def test_page_json(spark):
     assert list(record) == ["depth", "width", "height", "image_png_base64"]
     assert record["depth"] == 1.5
     assert base64.b64decode(record["image_png_base64"], validate=True) == data
+
+
+def test_workers_need_no_installed_package(tmp_path):
+    """Started elsewhere, with the package only on the driver's own path."""
+    root = Path(images.__file__).resolve().parents[2]
+    code = (
+        f"import sys; sys.path.insert(0, {str(root)!r})\n"
+        "from scanloom.session import build_session\n"
+        "from scanloom.operators.images import decode_images, export_images\n"
+        "spark = build_session('local[1]', 1)\n"
+        "df = spark.range(1).selectExpr('id', 'array(1, 2) AS px')\n"
+        "print(len(decode_images(export_images(df)).first().rgb))\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.stdout.strip().endswith("2"), done.stderr[-2000:]

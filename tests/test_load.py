@@ -50,7 +50,7 @@ def test_partial_load(spark, table, write_lines):
     assert (reject.depth, reject.reject) == (200.0, "bad_pixel")
     (check,) = reports.validate_load(report.summary, table.read()).collect()
     assert check.validation_passed and check.rows_skipped
-    (totals,) = reports.running_totals(report.batches()).collect()
+    (totals,) = reports.running_totals(report.batches).collect()
     assert (totals.total_rows, totals.total_failed, totals.percent_done) == (3, 1, 100.0)
 
 
