@@ -140,17 +140,23 @@ def profile_lines(spark: SparkSession, path: str, sample_rows: int = 5) -> DataF
     cells = [f"`{c.replace('`', '``')}`" for c in names]
     rows = spark.read.option("header", True).csv(path)
     place = F.struct(*[F.expr(p) for p in SOURCE_PLACE], F.monotonically_increasing_id().alias("row"))
-    # Types and sample depths come from the first rows in file order.
-    head = rows.select(place.alias("_place"), *cells).orderBy("_place").limit(sample_rows)
+    # Types and sample depths come from the first rows in file order, one row per cell.
+    head = rows.select(place.alias("_place"), F.array(*cells).alias("_cells")).orderBy("_place").limit(sample_rows)
+    column = (
+        head.select("_place", F.posexplode("_cells").alias("k", "cell"))
+        .groupBy("k")
+        .agg(
+            _kind(F.col("cell")).alias("kind"),
+            F.array_sort(F.collect_list(F.struct("_place", F.col("cell").try_cast("double").alias("d")))).alias("seen"),
+        )
+        .withColumn("name", F.element_at(F.array(*[F.lit(c) for c in names]), F.col("k") + 1))
+    )
+    kinds = column.agg(
+        F.map_from_entries(F.collect_list(F.struct("name", "kind"))).alias("column_types"),
+        F.transform(F.min_by("seen", "k"), lambda entry: entry["d"]).alias("sample_depths"),
+    )
     counted = rows.agg(F.count("*").alias("num_rows"))
     size = spark.read.format("binaryFile").load(path).agg(F.sum("length").alias("bytes"))
-    depths = F.array_sort(F.collect_list(F.struct("_place", F.col(cells[0]).try_cast("double").alias("d"))))
-    kinds = head.agg(
-        F.transform(depths, lambda entry: entry["d"]).alias("sample_depths"),
-        F.map_from_arrays(
-            F.array(*[F.lit(c) for c in names]), F.array(*[_kind(F.col(c)) for c in cells])
-        ).alias("column_types"),
-    )
     return side_by_side(counted, size, kinds).select(
         "num_rows",
         F.lit(len(names)).alias("num_cols"),
