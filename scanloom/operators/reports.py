@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scanloom.session import shared_folder
+
 BYTES_PER_FRAME = 10 * 1024
 MEGABYTE = 1024 * 1024
 
@@ -45,10 +47,12 @@ def running_totals(batches: DataFrame) -> DataFrame:
     """Totals after each batch: rows, stored, failed, percent of all rows read.
 
     Works on the aggregated batches in ranges of 1024: totals are kept within a
-    range, and only one sum per range is carried across.
+    range, and only one sum per range is carried across. The batches are
+    checkpointed, as both steps read them.
     """
+    shared_folder(batches.sparkSession)
     block = F.floor(F.col("batch_no") / 1024)
-    ranged = batches.select("batch_no", "rows", "failed", block.alias("_block"))
+    ranged = batches.select("batch_no", "rows", "failed", block.alias("_block")).checkpoint()
     sums = ranged.groupBy("_block").agg(F.sum("rows").alias("_r"), F.sum("failed").alias("_f"))
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy()
