@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -51,6 +53,20 @@ def fresh_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let workers import this package although it is not installed there; done once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_scanloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="scanloom-")) / f"{root.name}.zip"  # the driver hands it to the executors
+    with zipfile.ZipFile(archive, "w") as target:
+        for path in sorted(root.rglob("*.py")):
+            target.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._scanloom_shipped = True
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether any file or folder matches ``path`` (globs allowed)."""
     return bool(_matches(spark, path))
