@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scanloom.llm.langid import op4_langid
 from scanloom.llm.minhash import op5_minhash
+from scanloom.llm.mixing import OP6_SQL, op6_mixing
+from scanloom.llm.packing import op8_packing
+from scanloom.llm.secrets import op9_secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_minhash,)}
-ORACLE: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_langid, op5_minhash, op6_mixing, op8_packing, op9_secrets)}
+ORACLE: dict[str, str] = {"op6_mixing": OP6_SQL}
