@@ -11,8 +11,10 @@ similarity of 0.75 or more are linked, and linked documents form components.
    and the longer lists are skipped: their agreement is counted on the signatures.
 4. A posting list is cut into blocks of about ``BLOCK`` classes. Each block gives every class its best agreeing, more
    central neighbour. These links are confirmed on the full sets and joined into components.
-5. Lists that still hold several components are merged in full: classes outside the list's main component meet all
-   others, block by block, and every agreeing pair across components is confirmed. So no list is cut short, however long.
+5. Lists that still hold several components are merged in full. Those with the same largest component are taken as one,
+   so that a pair is met once. Classes outside that component meet all others, block by block, with their full sets;
+   every agreeing pair across components is confirmed there, unless links found before have joined its components. So no
+   list is cut short, however long, and pairs without a link leave no row.
 
 Documents without words have no set and are linked with nothing. Documents without id take no part (component null).
 """
@@ -34,6 +36,8 @@ SHINGLE = 5
 COORDINATES = 64
 MATCHES = 30
 BLOCK = 256
+#: Shingles on one side of a block whose full sets are compared.
+BLOCK_SHINGLES = 1_000_000
 _random = np.random.default_rng(20240501)
 _MULTIPLIERS = (_random.integers(0, 1 << 32, COORDINATES, dtype=np.uint32) | np.uint32(1))[:, None]
 _FLIPS = _random.integers(0, 1 << 32, COORDINATES, dtype=np.uint32)[:, None]
@@ -70,6 +74,12 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return least.view(np.int32)
 
 
+def _sign_lists(signs: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(
+        np.arange(0, COORDINATES * len(signs) + 1, COORDINATES, dtype=np.int32), np.concatenate(signs)
+    )
+
+
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
@@ -81,11 +91,8 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 xors.append(np.bitwise_xor.reduce(mix(shingles + np.uint64(1))) if len(shingles) else np.uint64(0))
                 signs.append(signature(shingles) if len(shingles) else np.zeros(COORDINATES, np.int32))
             as_long = lambda values: pa.array(np.array(values, np.uint64).view(np.int64))
-            lists = pa.ListArray.from_arrays(
-                np.arange(0, COORDINATES * (last - first) + 1, COORDINATES, dtype=np.int32), np.concatenate(signs)
-            )
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(first, last - first), pa.array(sizes, pa.int64()), as_long(sums), as_long(xors), lists],
+                [ids.slice(first, last - first), pa.array(sizes, pa.int64()), as_long(sums), as_long(xors), _sign_lists(signs)],
                 ["doc_id", "n_shingles", "sum_digest", "xor_digest", "signature"],
             )
 
@@ -98,9 +105,16 @@ def sketches(docs: DataFrame) -> DataFrame:
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, last, data, offsets in text_slices(batch.column(1)):
-            sets = [s.tobytes() for s in shingle_sets(words_of(data, offsets, lower=True))]
+            sets = list(shingle_sets(words_of(data, offsets, lower=True)))
+            signs = [signature(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, last - first), pa.array(sets, pa.binary())], ["doc_id", "shingles"]
+                [
+                    batch.column(0).slice(first, last - first),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([s.tobytes() for s in sets], pa.binary()),
+                    _sign_lists(signs),
+                ],
+                ["doc_id", "n", "shingles", "signature"],
             )
 
 
@@ -158,41 +172,69 @@ def _best_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 yield _pair_batch(own[central][fits], own[central][best[fits]])
 
 
-def _pairs_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _reaches(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of 0.75 or more."""
+    if len(a) > len(b):
+        a, b = b, a
+    if 100 * len(a) < 75 * len(b):
+        return False
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    shared = int((b[at] == a).sum())
+    return 100 * shared >= 75 * (len(a) + len(b) - shared)
+
+
+def _links_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in _groups(batches, 3):
         stray = table.column("stray").to_numpy(zero_copy_only=False).astype(bool)
-        reps, comps, signs = table.column("rep").to_numpy(), table.column("component").to_numpy(), _signs(table)
-        left = np.flatnonzero(stray)
-        right = np.flatnonzero(table.column("member").to_numpy(zero_copy_only=False).astype(bool))
+        reps, signs = table.column("rep").to_numpy(), _signs(table)
+        labels = table.column("component").to_pylist()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles").combine_chunks()]
+        joined: dict[int, int] = {}
+
+        def root(label: int) -> int:
+            while (above := joined.get(label, label)) != label:
+                joined[label] = joined.get(above, above)
+                label = above
+            return label
+
+        left, right = np.flatnonzero(stray), np.flatnonzero(~stray)
+        found = []
         for i in range(0, len(left), BLOCK):
             for j in range(0, len(right), BLOCK):
                 p, q = left[i : i + BLOCK], right[j : j + BLOCK]
-                fits = (_agreement(signs[p], signs[q]) >= MATCHES) & (comps[p, None] != comps[None, q])
-                x, y = np.nonzero(fits)
-                if len(x):
-                    yield _pair_batch(reps[p[x]], reps[q[y]])
+                counts = _agreement(signs[p], signs[q])
+                x, y = np.nonzero(counts >= MATCHES)
+                for k in np.argsort(-counts[x, y], kind="stable"):
+                    a, b = int(p[x[k]]), int(q[y[k]])
+                    one, other = root(labels[a]), root(labels[b])
+                    if one != other and _reaches(sets[a], sets[b]):
+                        joined[one] = other
+                        found.append((a, b))
+        if found:
+            a, b = np.array(found).T
+            yield _pair_batch(reps[a], reps[b])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = np.zeros(batch.num_rows, bool)
         one, other = batch.column(2), batch.column(3)
-        for i in range(batch.num_rows):
-            a = np.frombuffer(one[i].as_buffer(), np.uint64)
-            b = np.frombuffer(other[i].as_buffer(), np.uint64)
-            if 100 * min(len(a), len(b)) < 75 * max(len(a), len(b)):
-                continue
-            together = np.sort(np.concatenate([a, b]), kind="stable")
-            shared = int((together[1:] == together[:-1]).sum())
-            keep[i] = 100 * shared >= 75 * (len(together) - shared)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
-
-
-def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+        keep = [
+            _reaches(np.frombuffer(one[i].as_buffer(), np.uint64), np.frombuffer(other[i].as_buffer(), np.uint64))
+            for i in range(batch.num_rows)
+        ]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Full sets and signatures of the documents ``ids``."""
+    chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, "doc_id", "left_semi")
+    schema = "doc_id long, n long, shingles binary, signature array<int>"
+    return stored(in_python(chosen, _set_batches, schema), "sets")
+
+
+def _links(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose full sets reach the threshold."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, "doc_id", "left_semi")
-    sets = stored(in_python(chosen, _set_batches, "doc_id long, shingles binary"), "sets")
     one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left"))
     other = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right"))
     both = pairs.join(one, "a").join(other, "b").select("a", "b", "left", "right")
@@ -247,32 +289,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     cut = postings.withColumn("block", F.pmod(F.xxhash64("rep", "token"), _pieces("n", BLOCK)))
     near = in_python(_blocks(cut.select("token", "block", "rep", "signature"), "token", "block"), _best_neighbours, "a long, b long")
     copies = members.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    links = _links(docs, stored(near.where("a <> b").distinct(), "near"))
+    sets = _full_sets(docs, postings.select(F.col("rep").alias("doc_id")).distinct())
+    links = _links(sets, stored(near.where("a <> b").distinct(), "near"))
     labels = components(links)
 
-    placed = postings.join(labels, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
-    shares = placed.groupBy("token", "component").agg(F.count(F.lit(1)).alias("held"), F.first("n").alias("n"))
+    placed = postings.select("token", "rep").join(labels, F.col("rep") == F.col("node"), "left")
+    placed = placed.select("token", "rep", F.coalesce("component", "rep").alias("component"))
+    shares = placed.groupBy("token", "component").agg(F.count(F.lit(1)).alias("held"))
     mains = shares.groupBy("token").agg(
-        F.max_by("component", F.struct("held", "component")).alias("main"), F.max("held").alias("most"), F.count(F.lit(1)).alias("kinds")
+        F.max_by("component", F.struct("held", "component")).alias("main"), F.count(F.lit(1)).alias("kinds")
     )
-    mixed = stored(placed.join(mains.where("kinds > 1"), "token"), "mixed")
+    mixed = placed.join(mains.where("kinds > 1").select("token", "main"), "token").select("main", "rep", "component").distinct()
+    mixed = stored(mixed.join(sets.select(F.col("doc_id").alias("rep"), "n"), "rep"), "mixed")
     stray = F.col("component") != F.col("main")
-    rows, columns = _pieces("strays", BLOCK), _pieces("n", BLOCK)
-    place = F.xxhash64("rep", "token")
-    mixed = mixed.withColumn("strays", F.col("n") - F.col("most"))
+    loads = mixed.groupBy("main").agg(F.sum("n").alias("all"), F.sum(F.when(stray, F.col("n"))).alias("strays"))
+    mixed = mixed.join(loads, "main").withColumn("place", F.xxhash64("rep"))
+    rows, columns = _pieces("strays", BLOCK_SHINGLES), _pieces("all", BLOCK_SHINGLES)
+    zero = F.lit(0).cast("long")
     as_stray = mixed.where(stray).select(
-        "token", F.pmod(place, rows).alias("row"), F.explode(F.sequence(F.lit(0).cast("long"), columns - 1)).alias("column"),
-        "rep", "component", "signature", F.lit(True).alias("stray"), F.lit(False).alias("member"),
+        "main", F.pmod("place", rows).alias("row"), F.explode(F.sequence(zero, columns - 1)).alias("column"),
+        F.lit(True).alias("stray"), "rep", "component",
     )
     as_member = mixed.select(
-        "token", F.explode(F.sequence(F.lit(0).cast("long"), rows - 1)).alias("row"), F.pmod(place, columns).alias("column"),
-        "rep", "component", "signature", F.lit(False).alias("stray"), F.lit(True).alias("member"),
+        "main", F.explode(F.sequence(zero, rows - 1)).alias("row"), F.pmod("place", columns).alias("column"),
+        F.lit(False).alias("stray"), "rep", "component",
     )
-    met = _blocks(as_stray.unionByName(as_member), "token", "row", "column")
-    across = in_python(met, _pairs_across, "a long, b long")
-    across = stored(across.distinct(), "across")
-    everything = links.unionByName(_links(docs, across)).unionByName(copies)
-    final = components(everything)
+    full_rows = as_stray.unionByName(as_member).join(sets.withColumnRenamed("doc_id", "rep").drop("n"), "rep")
+    met = _blocks(full_rows.select("main", "row", "column", "stray", "rep", "component", "signature", "shingles"), "main", "row", "column")
+    across = in_python(met, _links_across, "a long, b long").distinct()
+    final = components(links.unionByName(across).unionByName(copies))
     rows_out = sketch.select("doc_id", "n_shingles").join(final, F.col("doc_id") == F.col("node"), "left")
     component = F.coalesce("component", "doc_id")
     return rows_out.select(
