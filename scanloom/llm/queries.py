@@ -6,13 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scanloom.llm.counts import op2_counts
 from scanloom.llm.langid import op4_langid
 from scanloom.llm.minhash import op5_minhash
 from scanloom.llm.mixing import OP6_SQL, op6_mixing
 from scanloom.llm.packing import op8_packing
-from scanloom.llm.secrets import op9_secrets
+from scanloom.llm.pseudo import op1_pseudo
+from scanloom.llm.quality import op3_quality
+from scanloom.llm.secret_scan import op9_secrets
+from scanloom.llm.topk import OP7_SQL, op7_topk
+from scanloom.llm.toxicity import op10_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_langid, op5_minhash, op6_mixing, op8_packing, op9_secrets)}
-ORACLE: dict[str, str] = {"op6_mixing": OP6_SQL}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_pseudo, op2_counts, op3_quality, op4_langid, op5_minhash,
+        op6_mixing, op7_topk, op8_packing, op9_secrets, op10_toxicity,
+    )
+}
+ORACLE: dict[str, str] = {"op6_mixing": OP6_SQL, "op7_topk": OP7_SQL}

@@ -15,6 +15,9 @@ SLICE_BYTES = 2_000_000
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
+#: For words in the narrower sense ASCII punctuation separates, too.
+WORD_BREAKS = _IS_SPACE.copy()
+WORD_BREAKS[list(b".,;:!?\"'()[]{}<>|/#*$%&")] = True
 _SAME = np.arange(256, dtype=np.uint8)
 _LOWER = np.where((_SAME >= 65) & (_SAME <= 90), _SAME + 32, _SAME).astype(np.uint8)
 _BASE = 0x9E3779B97F4A7C15
@@ -63,7 +66,7 @@ class Words:
         return mix(own + (self.ends - self.starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def text_slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(first, last, bytes, offsets)`` of slices of whole texts; null texts are empty."""
     texts = texts.cast(pa.large_string()).fill_null("")
     if not len(texts):
@@ -73,17 +76,17 @@ def text_slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
     data = np.frombuffer(content, np.uint8) if content is not None else np.zeros(0, np.uint8)
     first = 0
     while first < len(texts):
-        last = int(np.searchsorted(offsets, offsets[first] + SLICE_BYTES, "right")) - 1
+        last = int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1
         last = min(max(last, first + 1), len(texts))
         yield first, last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
-    """Words of the texts that ``offsets`` cut out of ``data``; words never span two texts."""
+def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False, breaks: np.ndarray = _IS_SPACE) -> Words:
+    """Words of the texts that ``offsets`` cut out of ``data``; words never span two texts, nor hold ``breaks``."""
     if lower:
         data = _LOWER[data]
-    space = _IS_SPACE[data]
+    space = breaks[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True
     before, after = cut[:-1].copy(), cut[1:].copy()
