@@ -325,5 +325,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay: of linked documents the one with the smallest id, of rows with one id the least.
+
+    Rows without id stay. The columns are those of ``docs``.
+    """
+    gone = stored(near_duplicates(docs.select("doc_id", "text")).where(~F.col("kept")).select("doc_id").distinct(), "gone")
+    rows = docs.join(gone, "doc_id", "left_anti")
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    if repeated.isEmpty():
+        return rows.select(*docs.columns)
+    least = rows.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return rows.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(least.select("row.*"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

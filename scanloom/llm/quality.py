@@ -3,8 +3,9 @@
 One pass over the texts gives each row its counts and two histograms: characters by class, and words by common word
 (the listed ones, and all others as one). The histograms of a language's texts of at least ``LEAST_WORDS`` words,
 summed over all rows, are its references. A text is compared with its own language's references by the Jensen-Shannon
-distance (base 2, so between 0 and 1). Each comparison has a guard: shorter texts, whose histograms say little, are not
-judged by it. ``kept`` needs the base rule to hold and every judged distance to stay within its limit.
+distance (base 2, so between 0 and 1). Shorter texts, whose histograms say little, are not judged (the guard); for the
+others the two distances together may reach ``LIMIT + SLACK / sqrt(words)``, as chance alone sets histograms of few
+words apart. ``kept`` needs the base rule and this one to hold.
 """
 
 from __future__ import annotations
@@ -23,8 +24,7 @@ COMMON_WORDS = (
 )
 WORDS = tuple(dict.fromkeys(COMMON_WORDS))
 LEAST_WORDS = 30
-CHARACTER_LIMIT = 0.2
-WORD_LIMIT = 0.35
+LIMIT, SLACK = 0.30, 1.4
 #: Windows of so many words are looked at for repetition.
 WINDOW = 5
 
@@ -96,12 +96,7 @@ def _distance(one: str, other: str) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(shares, F.lit(0.0), lambda a, v: a + v) / 2))
 
 
-def quality_rules(
-    docs: DataFrame,
-    least_words: int = LEAST_WORDS,
-    character_limit: float = CHARACTER_LIMIT,
-    word_limit: float = WORD_LIMIT,
-) -> DataFrame:
+def quality_rules(docs: DataFrame, least_words: int = LEAST_WORDS, limit: float = LIMIT, slack: float = SLACK) -> DataFrame:
     """Per row of ``docs``: doc_id, the counts, base_failed, kept and both distances.
 
     Null texts are empty; rows without ``lang`` form a language of their own. Without a reference, or below the guard,
@@ -127,8 +122,8 @@ def quality_rules(
         _distance("by_word", "word_reference").alias("word_distance"),
     )
     short = F.col("n_words") < least_words
-    within = lambda name, limit: F.coalesce(F.col(name) <= limit, F.lit(True))
-    fits = short | (within("class_distance", character_limit) & within("word_distance", word_limit))
+    allowed = F.lit(limit) + F.lit(slack) / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)).cast("double"))
+    fits = short | F.coalesce(F.col("class_distance") + F.col("word_distance") <= allowed, F.lit(True))
     kept = ~F.col("base_failed") & fits
     return rows.select(*rows.columns[:7], kept.alias("kept"), "class_distance", "word_distance")
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm.store import in_python
+from scanloom.llm.store import in_python, stored
 from scanloom.llm.text import WORD_BREAKS, Words, text_slices, words_of
 
 WINDOW, STRIDE = 32, 16
@@ -253,6 +253,16 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int =
     return params
 
 
+def _train_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Learning itself, in one task: the sample is bounded."""
+    rows = [tuple(row.values()) for batch in batches for row in batch.to_pylist()]
+    if rows:
+        rows.sort()
+        params = train([row[2] for row in rows], [row[3] for row in rows])
+        data = [params[k].astype(np.float32).tobytes() for k in params]
+        yield pa.RecordBatch.from_arrays([pa.array(list(params)), pa.array(data, pa.binary())], ["name", "data"])
+
+
 def _score_batches(params: Params) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,13 +300,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
     """
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"))
     known = known.where(~held_out()).withColumn("order", F.xxhash64("doc_id"))
-    sample = [
-        known.where(F.col("toxic") == label).orderBy("order", "doc_id").limit(per_class) for label in (0, 1)
-    ]
-    sample = sample[0].unionByName(sample[1])
+    classes = [known.where(F.col("toxic") == label).orderBy("order", "doc_id").limit(per_class) for label in (0, 1)]
+    sample = stored(classes[0].unionByName(classes[1]), "sample")  # at most twice per_class ids
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = texts.join(F.broadcast(sample), "doc_id").orderBy("order", "doc_id", "text").select("text", "toxic").collect()
-    params = train([r.text or "" for r in rows], [r.toxic for r in rows]) if rows else new_params()
+    rows = texts.join(F.broadcast(sample), "doc_id").select("order", "doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    found = in_python(stored(rows, "texts").coalesce(1), _train_batches, "name string, data binary").collect()
+    params = new_params()
+    for row in found:
+        params[row["name"]] = np.frombuffer(row["data"], np.float32).reshape(params[row["name"]].shape)
     chosen = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), F.col("text").cast("string"))
     return in_python(chosen, _score_batches(params), "doc_id long, held_out boolean, score double, predicted int")
 
