@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 import zipfile
@@ -12,6 +13,7 @@ from pyspark.sql import SparkSession
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A session for tests and benches; on a cluster pass the cluster's own."""
+    os.environ.setdefault("OMP_NUM_THREADS", "1")  # for workers: tasks fill the cores already
     builder = (
         SparkSession.builder.master(master)
         .appName("scanloom")
