@@ -109,7 +109,8 @@ SUMS = f"""{RESIZED}, {PALETTE}, sums AS (
 )"""
 FRAME_SHAPE = "CAST(48 AS INTEGER) AS width, CAST(1 AS INTEGER) AS height"
 
-SPOILED = """SELECT CASE label WHEN 1 THEN 'bad_depth' WHEN 2 THEN 'bad_pixel' END AS reject, * FROM embeddings"""
+SPOILED = """SELECT CASE WHEN label = 1 THEN 'bad_depth' WHEN label IN (2, 4, 5) THEN 'bad_pixel' END AS reject, *
+  FROM embeddings"""
 
 ORACLE: dict[str, str] = {
     "scan_lines": f"WITH {LINES} SELECT depth, x, v AS value FROM lines",
@@ -123,9 +124,8 @@ ORACLE: dict[str, str] = {
                count(*) * 65 * 8 / 1048576.0::DOUBLE AS memory_estimate_mb, true AS has_size
         FROM embeddings""",
     "check_width": """
-        SELECT CAST(vec_id AS DOUBLE) AS depth, CAST(CASE WHEN label = 3 THEN 63 ELSE 64 END AS INTEGER) AS pixels,
-               CASE WHEN label = 3 THEN 'bad_width' END AS reject
-        FROM embeddings""",
+        SELECT 'even' AS files, count(*) AS lines, false AS refused FROM embeddings WHERE label <> 3
+        UNION ALL SELECT 'mixed', 0, count(*) > 0 FROM embeddings WHERE label = 3""",
     "batch_profile": f"WITH {NUMBERED_EVENTS} SELECT * FROM batched",
     "write_frames": f"WITH {LOADED} SELECT {LOADED_COLUMNS} FROM loaded",
     "export_images": f"""WITH {LINES}, {GRAY}, {PALETTE}
@@ -136,8 +136,10 @@ ORACLE: dict[str, str] = {
                || ',"height":1,"image_png_base64":"' || base64(encode(o_orderpriority)) || '"}' AS frame_json
         FROM orders""",
     "verify_images": f"""
-        SELECT CAST(vec_id AS DOUBLE) AS depth, {FRAME_SHAPE}, true AS has_data, true AS is_png,
-               CAST(48 AS INTEGER) AS header_width, CAST(1 AS INTEGER) AS header_height
+        SELECT CAST(vec_id AS DOUBLE) AS depth, {FRAME_SHAPE},
+               vec_id % 7 <> 0 AS has_data, vec_id % 7 <> 0 AS is_png,
+               CAST(CASE WHEN vec_id % 7 <> 0 THEN 48 ELSE 0 END AS INTEGER) AS header_width,
+               CAST(CASE WHEN vec_id % 7 <> 0 THEN 1 ELSE 0 END AS INTEGER) AS header_height
         FROM embeddings""",
     "clamp_pixels": f"WITH {LINES}, {GRAY} SELECT depth, x, pixel FROM gray",
     "resize_lines": f"WITH {RESIZED} SELECT depth, x, pixel FROM small",
@@ -197,6 +199,16 @@ ORACLE: dict[str, str] = {
                  AND (bool_or(o_orderstatus = 'F') OR count(*) FILTER (o_orderstatus <> 'F') > 1)
                  THEN '{NOW}' END AS updated_at
         FROM orders GROUP BY o_custkey""",
+    "upsert_table": f"""
+        SELECT CAST(o_custkey AS DOUBLE) AS depth,
+               arg_max(o_orderpriority, (o_orderstatus <> 'F', o_orderkey)) AS image_text,
+               CAST(length(arg_max(o_orderpriority, (o_orderstatus <> 'F', o_orderkey))) AS INTEGER) AS width,
+               CAST(1 AS INTEGER) AS height,
+               CASE WHEN bool_or(o_orderstatus = 'F') THEN '{EARLIER}' ELSE '{NOW}' END AS created_at,
+               CASE WHEN bool_or(o_orderstatus <> 'F')
+                 AND (bool_or(o_orderstatus = 'F') OR count(*) FILTER (o_orderstatus <> 'F') > 1) THEN '{NOW}'
+                 WHEN bool_and(o_orderstatus = 'F') AND count(*) > 1 THEN '{EARLIER}' END AS updated_at
+        FROM orders GROUP BY o_custkey""",
     "delete_frame": """
         WITH held AS (SELECT DISTINCT o_custkey AS key FROM orders),
         debtors AS (SELECT c_custkey AS key FROM customer WHERE c_acctbal < 0)
@@ -249,11 +261,17 @@ ORACLE: dict[str, str] = {
         SELECT n AS rows_read, n AS rows_stored, held AS table_count, depth_min, depth_max,
                held = n AS validation_passed, false AS rows_skipped
         FROM (SELECT count(*) AS n, count(DISTINCT o_custkey) AS held, CAST(min(o_custkey) AS DOUBLE) AS depth_min,
-                     CAST(max(o_custkey) AS DOUBLE) AS depth_max FROM orders)""",
+                     CAST(max(o_custkey) AS DOUBLE) AS depth_max FROM orders)
+        UNION ALL
+        SELECT held + bad, held, held, depth_min, depth_max, true, bad > 0
+        FROM (SELECT count(DISTINCT o_custkey) AS held, count(*) FILTER (o_orderstatus = 'P') AS bad,
+                     CAST(min(o_custkey) AS DOUBLE) AS depth_min, CAST(max(o_custkey) AS DOUBLE) AS depth_max
+              FROM orders)""",
     "size_estimate": f"""
         WITH {LOADED}
         SELECT count(*) AS frames, count(*) * CAST(10240 AS DOUBLE) / 1048576 AS estimated_mb,
-               CAST(sum(strlen(image_text)) AS BIGINT) AS image_bytes
+               CAST(sum(strlen(image_text)) AS BIGINT) AS image_bytes,
+               CAST(100 AS DOUBLE) * (CAST(10240 AS DOUBLE) / 1048576) / 2 AS mb_per_second
         FROM loaded""",
     "line_gradients": f"""
         WITH {RESIZED}, steps AS (
@@ -276,11 +294,12 @@ ORACLE: dict[str, str] = {
     "stream_ingest": f"""
         WITH {LINES.replace('lines AS', 'whole AS')}, lines AS (
           SELECT depth, label, x, CASE WHEN label = 3 AND x = 6 THEN 0 ELSE v END AS v
-          FROM whole WHERE label NOT IN (1, 2)
+          FROM whole WHERE label NOT IN (1, 2, 4, 5)
         ), {SUMS.replace(LINES + ', ', '')}
         SELECT depth, {FRAME_SHAPE}, '{NOW}' AS created_at, colour_sum FROM sums""",
+    "stream_two_folders": f"WITH {SUMS} SELECT depth, {FRAME_SHAPE}, colour_sum FROM sums",
     "stream_batch_metrics": """
-        SELECT count(*) AS rows, count(*) FILTER (label IN (1, 2)) AS failed,
+        SELECT count(*) AS rows, count(*) FILTER (label IN (1, 2, 4, 5)) AS failed,
                min(CASE WHEN label <> 1 THEN CAST(vec_id AS DOUBLE) END) AS depth_min,
                max(CASE WHEN label <> 1 THEN CAST(vec_id AS DOUBLE) END) AS depth_max
         FROM embeddings GROUP BY label""",

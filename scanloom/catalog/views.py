@@ -60,15 +60,27 @@ def clock_text(column: str) -> Column:
     return F.date_format(F.to_utc_timestamp(column, F.current_timezone()), "yyyy-MM-dd HH:mm:ss")
 
 
-def write_csv(df: DataFrame, cells: Column, depth: Column | str = "depth", split_by: str | None = None) -> str:
-    """Write lines as wide CSV in depth order, or one file per value of ``split_by``; returns the folder."""
+def write_csv(
+    df: DataFrame,
+    cells: Column,
+    depth: Column | str = "depth",
+    split_by: str | None = None,
+    path: str | None = None,
+    width: int = WIDTH,
+    by_name: bool = False,
+) -> str:
+    """Write lines as wide CSV in depth order, or one file per value of ``split_by``; returns the folder.
+
+    With ``by_name`` columns have the names of a strict load, in falling order.
+    """
     spark = df.sparkSession
-    path = fresh_folder(spark, "csv")
+    path = path or fresh_folder(spark, "csv")
     rows = df.withColumn("_cells", cells)
-    pixels = [F.col("_cells")[k].alias(f"p{k}") for k in range(WIDTH)]
-    key = (F.col(depth) if isinstance(depth, str) else depth).alias("depth_m")
+    pixels = [F.col("_cells")[k].alias(f"col{k + 1}" if by_name else f"p{k}") for k in range(width)]
+    key = (F.col(depth) if isinstance(depth, str) else depth).alias("depth" if by_name else "depth_m")
     if split_by is None:
-        rows.orderBy("depth").select(key, *pixels).write.option("header", True).csv(path)
+        columns = [*pixels[::-1], key] if by_name else [key, *pixels]
+        rows.orderBy("depth").select(*columns).write.option("header", True).csv(path)
     else:
         parts = rows.repartition(split_by).select(key, *pixels, split_by)
         parts.write.partitionBy(split_by).option("header", True).csv(path)

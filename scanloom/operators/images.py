@@ -7,18 +7,13 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-import scanloom
 from scanloom.functions import png
 from scanloom.functions.palette import Rgb, check_palette, palette
-
-# The functions below travel to the workers whole, so that these need not have
-# this package installed.
-cloudpickle.register_pickle_by_value(scanloom)
+from scanloom.session import ship_package
 
 PNG_SIGNATURE_SQL = "X'89504E470D0A1A0A'"
 
@@ -64,6 +59,7 @@ def export_images(
                 names=schema.names,
             )
 
+    ship_package(df.sparkSession)
     return rows.mapInArrow(encode, schema)
 
 
@@ -98,20 +94,27 @@ def _encoded(pixels: pa.ListArray, heights: np.ndarray, colours: np.ndarray, col
 
 
 def decode_images(df: DataFrame, column: str = "image_png", into: str = "rgb") -> DataFrame:
-    """Replace image bytes by their pixels, row by row, as ``array<struct<r,g,b>>``."""
+    """Replace image bytes by their pixels, row by row, as ``array<struct<r,g,b>>``; a null image gives null."""
     others = [c for c in df.columns if c != column]
     pixel = T.StructType([T.StructField(c, T.IntegerType()) for c in "rgb"])
     schema = T.StructType([df.schema[c] for c in others] + [T.StructField(into, T.ArrayType(pixel))])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            decoded = [png.decode(v).reshape(-1, 3) for v in batch.column(column).to_pylist()]
+            images = batch.column(column).to_pylist()
+            nothing = np.zeros((0, 3))
+            decoded = [nothing if v is None else png.decode(v).reshape(-1, 3) for v in images]
             offsets = np.concatenate([[0], np.cumsum([len(d) for d in decoded])]).astype(np.int32)
             flat = np.concatenate(decoded) if decoded else np.zeros((0, 3))
             channels = [pa.array(flat[:, k].astype(np.int32)) for k in range(3)]
-            pixels = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(channels, list("rgb")))
+            pixels = pa.ListArray.from_arrays(
+                pa.array(offsets),
+                pa.StructArray.from_arrays(channels, list("rgb")),
+                mask=pa.array([v is None for v in images], pa.bool_()),
+            )
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in others] + [pixels], names=schema.names)
 
+    ship_package(df.sparkSession)
     return df.select(*others, column).mapInArrow(decode, schema)
 
 

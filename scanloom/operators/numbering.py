@@ -29,8 +29,8 @@ def number_rows(df: DataFrame, *order: str | Column, name: str = "row_no") -> Da
         .agg(F.count("*").alias("_rows"))
         .select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
     )
-    # One row per sort partition, so at most spark.sql.shuffle.partitions rows.
-    return placed.join(F.broadcast(starts), "_part").select(
+    # One row per sort partition; Spark broadcasts them if they are few enough.
+    return placed.join(starts, "_part").select(
         *df.columns, (F.col("_start") + F.col("_place") + 1).alias(name)
     )
 

@@ -129,7 +129,7 @@ def depth_extent(df: DataFrame) -> DataFrame:
 
 
 def store_metrics(df: DataFrame) -> DataFrame:
-    """Count and extent in one pass."""
+    """Count and extent of any frames in one pass; a frame table has them in its log."""
     return df.agg(
         F.count("*").alias("total_frames"),
         F.min("depth").alias("depth_min"),
@@ -145,12 +145,12 @@ def iso_time(moment: Column) -> Column:
 
 
 def frame_metadata(df: DataFrame) -> DataFrame:
-    """Frame records without the image itself."""
+    """Frame records without the image itself; a stored ``image_bytes`` spares reading it."""
     return df.select(
         "depth",
         "width",
         "height",
-        F.octet_length("image_png").alias("image_size_bytes"),
+        (F.col("image_bytes").cast("int") if "image_bytes" in df.columns else F.octet_length("image_png")).alias("image_size_bytes"),
         iso_time(F.col("created_at")).alias("created_at"),
         iso_time(F.col("updated_at")).alias("updated_at"),
     )
@@ -161,12 +161,20 @@ def base64_text(data: Column) -> Column:
     return F.regexp_replace(F.base64(data), "[\r\n]", "")
 
 
+def plain_number(value: Column) -> Column:
+    """A double as decimal text without an exponent, as far as 1e15; beyond that as Spark writes it."""
+    text = value.cast("string")
+    digits = F.regexp_replace(value.try_cast("decimal(38,20)").cast("string"), r"(\.[0-9]*?)0+$", "$1")
+    digits = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
+    return F.when(text.contains("E") & (F.abs(value) < 1e15), digits).otherwise(text)
+
+
 def page_json(df: DataFrame) -> DataFrame:
-    """Each frame as a JSON record with its image in base64."""
+    """Each frame as a JSON record with its image in base64; depths are written without an exponent."""
     record = F.struct(
-        F.col("depth"),
         F.col("width"),
         F.col("height"),
         base64_text(F.col("image_png")).alias("image_png_base64"),
     )
-    return df.select("depth", F.to_json(record).alias("frame_json"))
+    rest = F.substring(F.to_json(record), 2, 1 << 30)
+    return df.select("depth", F.concat(F.lit('{"depth":'), plain_number(F.col("depth")), F.lit(","), rest).alias("frame_json"))

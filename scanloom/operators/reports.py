@@ -141,16 +141,23 @@ def validate_load(summary: DataFrame, table: DataFrame) -> DataFrame:
     )
 
 
-def size_estimate(table: DataFrame, seconds: float | None = None) -> DataFrame:
-    """Stored megabytes as assumed (10 KiB a frame) and as they are."""
+def size_estimate(table: DataFrame, seconds: float | None = None, stored: int | None = None) -> DataFrame:
+    """Stored megabytes as assumed (10 KiB a frame) and as they are.
+
+    The rate is that of the ``stored`` frames of a load, by default of all
+    frames. A column ``image_bytes`` spares reading the images.
+    """
+    assumed = F.lit(float(BYTES_PER_FRAME)) / F.lit(float(MEGABYTE))
     megabytes = F.col("frames") * F.lit(float(BYTES_PER_FRAME)) / F.lit(float(MEGABYTE))
+    size = F.col("image_bytes") if "image_bytes" in table.columns else F.octet_length("image_png")
+    rate = megabytes if stored is None else F.lit(float(stored)) * assumed
     spent = F.lit(None if seconds is None else float(seconds)).cast("double")
     return table.agg(
         F.count("*").alias("frames"),
-        F.coalesce(F.sum(F.octet_length("image_png")), F.lit(0)).alias("image_bytes"),
+        F.coalesce(F.sum(size), F.lit(0)).alias("image_bytes"),
     ).select(
         "frames",
         megabytes.alias("estimated_mb"),
         "image_bytes",
-        F.when(spent > 0, megabytes / spent).otherwise(0.0).alias("mb_per_second"),
+        F.when(spent > 0, rate / spent).otherwise(0.0).alias("mb_per_second"),
     )

@@ -8,6 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -21,6 +22,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -77,10 +79,46 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a folder this library wrote earlier."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+    _system(spark, target).delete(target, True)
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names of what lies in a folder; none if there is no such folder."""
+    return [status.getPath().getName() for status in _matches(spark, f"{folder}/*")]
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below ``path``."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return _system(spark, target).getContentSummary(target).getLength()
+
+
+def create_file(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file; raises ``FileExistsError`` if there is one, which then stays as it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        stream = _system(spark, target).create(target, False)
+    except Py4JJavaError as error:
+        if "AlreadyExists" in str(error.java_exception) or path_exists(spark, path):
+            raise FileExistsError(path) from error
+        raise
+    stream.write(bytearray(text.encode()))
+    stream.close()
+
+
+def read_file(spark: SparkSession, path: str) -> str:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = _system(spark, target).open(target)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def _system(spark: SparkSession, target):
+    return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
 def _matches(spark: SparkSession, path: str) -> list:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    return list(system.globStatus(target) or [])
+    return list(_system(spark, target).globStatus(target) or [])

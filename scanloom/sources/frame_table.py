@@ -2,33 +2,39 @@
 
 Layout below the root folder::
 
-    data/zone=<z>/gen=<load id>/*.parquet   frames, sorted by depth
-    log/*.parquet                           one row per zone and version
+    data/gen=<generation>/zone=<z>/*.parquet   frames, sorted by depth
+    log/<version>.json                         the zones of that version
 
 A zone is a stretch of ``zone_width`` depths. A write makes a new generation of
-the zones it touches and leaves all other zones alone; one appended log file
-then makes it current. Readers see the version before or after, never a mix,
-and a job that fails half-way leaves nothing visible. One writer at a time.
+the zones it touches and leaves all other zones alone; one new log file then
+makes it current. Readers see the version before or after, never a mix, and a
+job that fails half-way leaves nothing visible. Generations have names of their
+own, so that nothing a caller passes becomes part of a path.
 
-The log answers whole-table counts and extents without reading any frame, and
-lets a range read skip the folders outside its bounds.
+Only one of two writers that started from the same version can create the next
+log file; the other raises ``StaleVersionError`` and changes nothing.
+
+The log file answers whole-table counts, extents and sizes without reading any
+frame, and lets a range read skip the folders outside its bounds.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from scanloom.operators import keyed
 from scanloom.operators.ranges import depth_range
-from scanloom.session import drop_path, path_exists
+from scanloom.session import create_file, drop_path, fresh_folder, names_in, read_file, size_of
 
 FRAME = T.StructType(
     [
@@ -41,49 +47,62 @@ FRAME = T.StructType(
     ]
 )
 STORED = T.StructType(
-    [*FRAME.fields, T.StructField("zone", T.LongType()), T.StructField("gen", T.StringType())]
+    [*FRAME.fields, T.StructField("image_bytes", T.LongType()), T.StructField("zone", T.LongType())]
 )
-LOG = T.StructType(
+ZONES = T.StructType(
     [
-        T.StructField("version", T.LongType()),
-        T.StructField("load_id", T.StringType()),
         T.StructField("zone", T.LongType()),
         T.StructField("gen", T.StringType()),
         T.StructField("rows", T.LongType()),
+        T.StructField("image_bytes", T.LongType()),
         T.StructField("depth_min", T.DoubleType()),
         T.StructField("depth_max", T.DoubleType()),
-        T.StructField("zone_width", T.DoubleType()),
     ]
 )
 # Zones beyond this number share one, so that infinite depths have a zone too.
 LAST_ZONE = float(1 << 52)
+# Frames per write task at least, if cores are free, and stored bytes per task at most.
+SMALL_TASK, TASK_BYTES = 20_000, 256 << 20
+# Log files kept behind the current one, for readers that are still at them.
+KEPT_VERSIONS = 20
+
 
+class StaleVersionError(RuntimeError):
+    """Another writer published a version meanwhile; nothing was changed."""
 
-# Frames per write task: few enough for a small load to use all cores, then
-# about 400 MB a task, then as many as it takes to stay below MOST_TASKS.
-SMALL_TASK, FULL_TASK, MOST_TASKS = 20_000, 1_000_000, 20_000
 
+def write_tasks(rows: int, size: int, cores: int) -> int:
+    """Number of range partitions, and so at least of files, for a write of ``rows`` frames of ``size`` bytes."""
+    return max(1, min(cores, -(-rows // SMALL_TASK)), -(-size // TASK_BYTES))
 
-def write_tasks(rows: int, cores: int) -> int:
-    """Number of range partitions, and so at least of files, for a write of ``rows`` frames."""
-    spread = min(cores, -(-rows // SMALL_TASK))
-    return max(1, spread, min(MOST_TASKS, -(-rows // FULL_TASK)))
+
+@dataclass(frozen=True)
+class Zone:
+    gen: str
+    rows: int
+    image_bytes: int
+    depth_min: float
+    depth_max: float
 
 
 @dataclass(frozen=True)
 class Version:
-    """A version of the table as the log tells it; as long as the list of zones."""
+    """A version of the table as its log file tells it; as long as the list of zones.
+
+    ``writers`` has the last step of each numbered writer, such as a stream.
+    """
 
     number: int
-    generations: dict[int, str]
-    rows: dict[int, int]
-    done: bool
+    zone_width: float
+    zones: dict[int, Zone] = field(default_factory=dict)
+    writers: dict[str, int] = field(default_factory=dict)
+    load_id: str | None = None
 
-    def folders(self, zones: Iterable[int]) -> list[tuple[int, str]]:
-        return [(z, self.generations[z]) for z in zones if z in self.generations]
+    def has(self, writer: tuple[str, int] | None) -> bool:
+        return writer is not None and self.writers.get(writer[0], -1) >= writer[1]
 
-    def rows_in(self, zones: Iterable[int]) -> int:
-        return sum(self.rows.get(z, 0) for z in zones)
+    def only(self, zones: Iterable[int]) -> dict[int, Zone]:
+        return {z: self.zones[z] for z in sorted(zones) if z in self.zones}
 
 
 class FrameTable:
@@ -94,74 +113,62 @@ class FrameTable:
         self.root = root.rstrip("/")
         if not zone_width > 0:
             raise ValueError(f"zone width must be positive, got {zone_width}")
-        if path_exists(spark, f"{self.root}/log"):
-            self.zone_width = self._log().agg(F.max("zone_width")).first()[0]
-        else:
-            self.zone_width = float(zone_width)
-            self._append_log([(0, "create", None, None, 0, None, None, self.zone_width)])
+        if not names_in(spark, f"{self.root}/log"):
+            try:
+                self._append_log(Version(0, float(zone_width), load_id="create"))
+            except StaleVersionError:  # created by another writer just now
+                pass
+        self.zone_width = self.version().zone_width
 
     # Reading
 
-    def _log(self) -> DataFrame:
-        return self.spark.read.schema(LOG).parquet(f"{self.root}/log")
+    def version(self) -> Version:
+        """The current version."""
+        newest = max(name for name in names_in(self.spark, f"{self.root}/log") if name.endswith(".json"))
+        told = json.loads(read_file(self.spark, f"{self.root}/log/{newest}"))
+        told["zones"] = {int(z): Zone(**about) for z, about in told["zones"].items()}
+        return Version(**told)
 
     def zones(self) -> DataFrame:
-        """Current zones: generation, rows and depth extent of each."""
-        entry = F.struct("gen", "rows", "depth_min", "depth_max")
-        return (
-            self._log()
-            .where(F.col("zone").isNotNull())
-            .groupBy("zone")
-            .agg(F.max_by(entry, "version").alias("_now"))
-            .select("zone", "_now.*")
-            .where(F.col("gen").isNotNull())
-        )
-
-    def version(self, load_id: str | None = None) -> Version:
-        """The current version, and whether ``load_id`` is in it."""
-        rows = (
-            self._log()
-            .groupBy("zone")
-            .agg(
-                F.max_by(F.struct("gen", "rows"), "version").alias("now"),
-                F.max("version").alias("version"),
-                F.bool_or(F.col("load_id") == F.lit(load_id)).alias("done"),
-            )
-            .collect()
-        )
-        live = {row.zone: row.now for row in rows if row.zone is not None and row.now.gen is not None}
-        return Version(
-            max(row.version for row in rows),
-            {zone: now.gen for zone, now in live.items()},
-            {zone: now.rows for zone, now in live.items()},
-            any(row.done for row in rows),
-        )
-
-    def _stored(self, folders: Iterable[tuple[int, str]]) -> DataFrame:
-        paths = [f"{self.root}/data/zone={zone}/gen={gen}" for zone, gen in folders]
+        """Current zones: generation, rows, image bytes and depth extent of each."""
+        rows = [(zone, *asdict(about).values()) for zone, about in self.version().zones.items()]
+        columns = list(zip(*rows)) or [()] * len(ZONES)
+        arrays = [pa.array(list(c), t) for c, t in zip(columns, to_arrow_schema(ZONES).types)]
+        return self.spark.createDataFrame(pa.table(arrays, names=ZONES.fieldNames()), ZONES)
+
+    def _stored(self, zones: dict[int, Zone]) -> DataFrame:
+        paths = [f"{self.root}/data/gen={about.gen}/zone={zone}" for zone, about in zones.items()]
         if not paths:
             nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in STORED]
             return self.spark.range(0).select(*nothing)
-        return self.spark.read.schema(STORED).option("basePath", f"{self.root}/data").parquet(*paths)
-
-    def read(self, depth_min: float | None = None, depth_max: float | None = None) -> DataFrame:
-        """Frames, within inclusive bounds if given; folders outside them are not opened."""
-        zones = self.zones()
-        if depth_min is not None:
-            zones = zones.where(F.col("depth_max") >= F.lit(float(depth_min)))
-        if depth_max is not None:
-            zones = zones.where(F.col("depth_min") <= F.lit(float(depth_max)))
-        folders = [(row.zone, row.gen) for row in zones.select("zone", "gen").collect()]
-        return depth_range(self._stored(folders).select(*FRAME.fieldNames()), depth_min, depth_max)
+        return self.spark.read.schema(STORED).option("basePath", f"{self.root}/data").parquet(*paths).select(*STORED.names)
+
+    def read(self, depth_min: float | None = None, depth_max: float | None = None, sizes: bool = False) -> DataFrame:
+        """Frames, within inclusive bounds if given; folders outside them are not opened.
+
+        With ``sizes`` there is a column ``image_bytes``, which is stored and costs no reading of images.
+        """
+        low = -float("inf") if depth_min is None else float(depth_min)
+        high = float("inf") if depth_max is None else float(depth_max)
+        zones = {z: about for z, about in self.version().zones.items() if about.depth_max >= low and about.depth_min <= high}
+        columns = [*FRAME.fieldNames(), *["image_bytes"] * sizes]
+        return depth_range(self._stored(zones).select(*columns), depth_min, depth_max)
 
     def metrics(self) -> DataFrame:
-        """Total frames and depth extent, from the log alone."""
+        """Total frames, image bytes and depth extent, from the log alone."""
         return self.zones().agg(
             F.coalesce(F.sum("rows"), F.lit(0)).alias("total_frames"),
             F.min("depth_min").alias("depth_min"),
             F.max("depth_max").alias("depth_max"),
         )
 
+    def sizes(self) -> DataFrame:
+        """Number of frames and bytes of their images, from the log alone."""
+        zero = F.lit(0).cast("long")
+        return self.zones().agg(
+            F.coalesce(F.sum("rows"), zero).alias("frames"), F.coalesce(F.sum("image_bytes"), zero).alias("image_bytes")
+        )
+
     # Writing
 
     def zone_of(self, depth: Column) -> Column:
@@ -175,23 +182,32 @@ class FrameTable:
         load_id: str,
         order: Column | None = None,
         now: datetime | None = None,
+        writer: tuple[str, int] | None = None,
     ) -> None:
         """Insert or replace ``frames`` (depth, image_png, width, height).
 
         ``order`` tells which of several rows of one depth is the last; without
-        it depths must not repeat. A ``load_id`` already in the log is skipped,
-        so a repeated call changes nothing.
+        it depths must not repeat. A null or NaN depth and a null image raise
+        before anything changes. ``load_id`` is any text, kept in the log.
+        ``writer`` names a writer and its step; a step that is in the table is
+        not done again.
         """
-        base = self.version(load_id)
-        if base.done:
+        base = self.version()
+        if base.has(writer):
             return
-        path = f"{self.root}/staging/{load_id}"
+        path = fresh_folder(self.spark, "staging")
         rank = order if order is not None else F.lit(0)
-        chosen = frames.select("depth", *keyed.PAYLOAD, rank.alias("_order"))
-        chosen.write.mode("overwrite").parquet(path)
+        sound = F.col("depth").isNotNull() & ~F.isnan("depth") & F.col("image_png").isNotNull()
+        wrong = F.raise_error(F.lit("a frame needs a depth that is a number, and an image")).cast("double")
+        depth = F.when(sound, F.col("depth") + F.lit(0.0)).otherwise(wrong)
+        chosen = frames.select(depth.alias("depth"), *keyed.PAYLOAD, rank.alias("_order"))
+        chosen.write.parquet(path)
         staged = self.spark.read.schema(chosen.schema).parquet(path)
-        self.merge_staged(staged, F.col("_order"), load_id, base, now, ordered=order is not None)
-        drop_path(self.spark, path)
+        try:
+            size = size_of(self.spark, path)
+            self.merge_staged(staged, F.col("_order"), load_id, base, size, now, ordered=order is not None, writer=writer)
+        finally:
+            drop_path(self.spark, path)
 
     def merge_staged(
         self,
@@ -199,11 +215,13 @@ class FrameTable:
         order: Column,
         load_id: str,
         base: Version,
+        size: int,
         now: datetime | None = None,
         replace_all: bool = False,
         ordered: bool = True,
+        writer: tuple[str, int] | None = None,
     ) -> None:
-        """Merge rows read back from a stored table, which is scanned more than once here."""
+        """Merge rows read back from a stored table of ``size`` bytes, which is scanned more than once here."""
         now = now or datetime.now(timezone.utc)
         incoming = staged.withColumn("zone", self.zone_of(F.col("depth")))
         # Depth column only: which zones are touched, and does any depth repeat?
@@ -223,79 +241,96 @@ class FrameTable:
             incoming = keyed.last_wins(incoming, order, keys=("zone", "depth"))
         else:
             incoming = incoming.withColumn("times_seen", F.lit(1))
-        folders = [] if replace_all else base.folders(touched)
-        tasks = self._tasks(rows + base.rows_in(zone for zone, _ in folders))
+        old = {} if replace_all else base.only(touched)
+        rows += sum(zone.rows for zone in old.values())
+        size += sum(zone.image_bytes for zone in old.values())
+        tasks = write_tasks(rows, size, self.spark.sparkContext.defaultParallelism)
         by_key = ("zone", "depth")
-        if folders:
-            merged = keyed.upsert_frames(self._stored(folders), incoming, now, by_key, range_tasks=tasks)
+        if old:
+            merged = keyed.upsert_frames(self._stored(old), incoming, now, by_key, range_tasks=tasks)
         else:
             merged = keyed.new_frames(incoming, now, by_key).repartitionByRange(tasks, *by_key)
         if replace_all:
-            touched |= base.generations.keys()
-        self._publish(merged, touched, load_id, base)
+            touched |= base.zones.keys()
+        self._publish(merged, touched, load_id, base, writer)
 
     def delete(self, keys: DataFrame, load_id: str) -> DataFrame:
         """Remove the depths in ``keys``; returns which of them were there.
 
-        The keys are written down first, so that the answer and the deletion
-        use the same ones.
+        The depth column alone tells where there is something to remove; zones
+        without it keep their files.
         """
-        base = self.version(load_id)
-        if base.done:
-            raise ValueError(f"deletion {load_id!r} was done before")
-        path = f"{self.root}/staging/{load_id}"
-        depth = F.col("depth").cast("double")
-        doomed = keys.select(depth.alias("depth")).distinct().withColumn("zone", self.zone_of(depth))
-        doomed.write.mode("overwrite").parquet(path)
-        doomed = self.spark.read.schema(doomed.schema).parquet(path)
-        touched = {row.zone for row in doomed.select("zone").distinct().collect()}
-        current = self._stored(base.folders(touched))
-        left = keyed.delete_frames(current, doomed).repartitionByRange(
-            self._tasks(base.rows_in(touched)), "zone", "depth"
-        )
-        self._publish(left, touched & base.generations.keys(), load_id, base)
-        return keyed.deletion_report(current, doomed)
+        base = self.version()
+        depth = F.col("depth").cast("double") + F.lit(0.0)
+        asked = keys.select(depth.alias("depth")).distinct().withColumn("zone", self.zone_of(F.col("depth")))
+        near = {row.zone for row in asked.select("zone").distinct().collect()}
+        current = self._stored(base.only(near))
+        path = fresh_folder(self.spark, "deleted")  # the report reads it, so it stays until the session's folder goes
+        found = current.select("zone", "depth", F.lit(True).alias("_hit"))
+        asked = asked.join(found, ["zone", "depth"], "left").select("zone", "depth", F.col("_hit").isNotNull().alias("deleted"))
+        asked.write.parquet(path)
+        asked = self.spark.read.schema(asked.schema).parquet(path)
+        hits = asked.where("deleted")
+        touched = {row.zone for row in hits.select("zone").distinct().collect()}
+        if touched:
+            left = self._stored(base.only(touched)).join(hits.select("zone", "depth"), ["zone", "depth"], "left_anti")
+            self._publish(left, touched, load_id, base)
+        return asked.select("depth", "deleted")
 
     def clear(self, load_id: str) -> None:
         """Remove all frames."""
-        base = self.version(load_id)
-        if not base.done:
-            self._publish(self._stored([]), base.generations.keys(), load_id, base)
-
-    def _tasks(self, rows: int) -> int:
-        return write_tasks(rows, self.spark.sparkContext.defaultParallelism)
+        base = self.version()
+        self._publish(self._stored({}), base.zones.keys(), load_id, base)
 
-    def _publish(self, rows: DataFrame, touched: Iterable[int], load_id: str, base: Version) -> None:
-        """Write a new generation of the touched zones, then its log entries."""
-        zones = sorted(touched)
-        if zones:
+    def _publish(
+        self,
+        rows: DataFrame,
+        touched: Iterable[int],
+        load_id: str,
+        base: Version,
+        writer: tuple[str, int] | None = None,
+    ) -> None:
+        """Write a new generation of the touched zones, then the log file that makes it current."""
+        touched, gen = set(touched), f"{base.number + 1:08d}-{uuid.uuid4().hex[:12]}"
+        zones = {z: about for z, about in base.zones.items() if z not in touched}
+        path = f"{self.root}/data/gen={gen}"
+        if touched:
+            merged = Observation()
             (
-                rows.select(*FRAME.fieldNames(), "zone", F.lit(load_id).alias("gen"))
+                rows.select(*FRAME.fieldNames(), F.octet_length("image_png").cast("long").alias("image_bytes"), "zone")
+                .observe(merged, F.count(F.lit(1)).alias("rows"))
                 .sortWithinPartitions("zone", "depth")
-                .write.partitionBy("zone", "gen")
-                .mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .parquet(f"{self.root}/data")
+                .write.partitionBy("zone")
+                .parquet(path)
             )
-        written = self._written(load_id)
-        entry = (base.number + 1, load_id)
-        entries = []
-        for zone in zones or [None]:
-            count, low, high = written.get(zone, (0, None, None))
-            entries.append((*entry, zone, load_id if count else None, count, low, high, self.zone_width))
-        self._append_log(entries)
-
-    def _written(self, load_id: str) -> dict[int, tuple[int, float, float]]:
-        """Rows and extent per zone of a generation, from its depth column."""
-        pattern = f"{self.root}/data/zone=*/gen={load_id}"
-        if not path_exists(self.spark, pattern):
+            written = self._written(path, gen)
+            stored = sum(about.rows for about in written.values())
+            if stored != merged.get["rows"] or not written.keys() <= touched:
+                raise RuntimeError(f"{merged.get['rows']} rows were merged but {stored} found; nothing was published")
+            zones |= written
+        writers = {**base.writers, **dict([writer] if writer else [])}
+        try:
+            self._append_log(Version(base.number + 1, self.zone_width, dict(sorted(zones.items())), writers, load_id))
+        except StaleVersionError:
+            drop_path(self.spark, path)
+            raise
+
+    def _written(self, path: str, gen: str) -> dict[int, Zone]:
+        """The zones of a new generation, from its narrow columns."""
+        if not names_in(self.spark, path):
             return {}
-        stored = self.spark.read.schema(STORED).option("basePath", f"{self.root}/data").parquet(pattern)
-        extents = stored.groupBy("zone").agg(F.count("*"), F.min("depth"), F.max("depth"))
-        return {zone: tuple(rest) for zone, *rest in extents.collect()}
-
-    def _append_log(self, entries: list[tuple]) -> None:
-        # One file per version, so that the version appears all at once.
-        columns = [pa.array(c, t) for c, t in zip(zip(*entries), to_arrow_schema(LOG).types)]
-        rows = pa.table(columns, names=LOG.fieldNames())
-        self.spark.createDataFrame(rows).coalesce(1).write.mode("append").parquet(f"{self.root}/log")
+        stored = self.spark.read.schema(STORED).parquet(path)
+        extents = stored.groupBy("zone").agg(F.count("*"), F.sum("image_bytes"), F.min("depth"), F.max("depth"))
+        return {zone: Zone(gen, *about) for zone, *about in extents.collect() if zone is not None}
+
+    def _append_log(self, version: Version) -> None:
+        """Create the version's file, which one writer alone can do; log files far behind are removed."""
+        try:
+            create_file(self.spark, self._log_path(version.number), json.dumps(asdict(version)))
+        except FileExistsError:
+            raise StaleVersionError(f"version {version.number} of {self.root} was published by another writer") from None
+        if version.number > KEPT_VERSIONS:
+            drop_path(self.spark, self._log_path(version.number - KEPT_VERSIONS - 1))
+
+    def _log_path(self, number: int) -> str:
+        return f"{self.root}/log/{number:012d}.json"

@@ -66,6 +66,22 @@ def test_rejects_keep_other_rows(spark, write_lines):
     assert str(zero.depth) == "0.0"
 
 
+def test_texts_that_only_a_cast_takes_for_numbers(spark, write_lines):
+    rows = [["3d", 1, 2, 3], [4, "5d", 2, 3], [5, "0x1p3", 2, 3], [6, "7f", 2, 3], [7, "inf", "1e1", "2."]]
+    got = {r.depth_text: r.reject for r in csv_lines.scan_lines(spark, write_lines(rows, 3), 3).collect()}
+    assert got == {"3d": "bad_depth", "4": "bad_pixel", "5": "bad_pixel", "6": "bad_pixel", "7": None}
+
+
+def test_commas_in_quotes_are_no_cells(spark, write_lines):
+    (row,) = csv_lines.scan_lines(spark, write_lines([[1, '"2,5,6,7"']], 3), 3).collect()
+    assert row.reject == "bad_pixel"
+
+
+def test_more_columns_than_a_parser_expects(spark, write_lines):
+    (row,) = csv_lines.scan_lines(spark, write_lines([[1, *[7] * 25_000]], 25_000), 25_000).collect()
+    assert row.reject is None and len(row.px) == 25_000
+
+
 def test_header_only(spark, write_lines):
     summary = reports.load_summary(csv_lines.scan_lines(spark, write_lines([]))).collect()[0]
     assert (summary.rows_read, summary.rows_stored, summary.rows_failed, summary.batches) == (0, 0, 0, 0)
@@ -96,6 +112,12 @@ def test_profile(spark, write_lines):
         assert got.file_size_mb == pytest.approx(len(file.read()) / 2**20)
 
 
+def test_profile_types_come_from_all_rows(spark, write_lines):
+    path = write_lines([[k, "text" if k == 7 else 1, 8.5 if k == 8 else 1] for k in range(20)], 2)
+    kinds = csv_lines.profile_lines(spark, path).first().column_types
+    assert (kinds["depth"], kinds["col1"], kinds["col2"]) == ("bigint", "string", "double")
+
+
 def test_profile_takes_the_first_rows_of_many_splits(spark, write_lines):
     path = write_lines([[k, 1, 2] for k in range(3000)], 2)
     spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")

@@ -1,11 +1,12 @@
 from datetime import datetime, timezone
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import make
 from scanloom.operators import keyed
-from scanloom.sources.frame_table import FULL_TASK, MOST_TASKS, FrameTable, write_tasks
+from scanloom.sources.frame_table import TASK_BYTES, FrameTable, StaleVersionError, write_tasks
 
 T1 = datetime(2024, 1, 1, tzinfo=timezone.utc)
 T2 = datetime(2024, 2, 1, tzinfo=timezone.utc)
@@ -60,10 +61,49 @@ def test_repeats_need_an_order(spark, table):
     assert held(table) == {}
 
 
-def test_same_load_id_is_done_once(spark, table):
+def test_a_load_name_seen_before_loads_again(spark, table):
     table.upsert(frames(spark, (1, b"x")), "a", now=T1)
     table.upsert(frames(spark, (1, b"other")), "a", now=T2)
-    assert held(table) == {1.0: (b"x", 150, 1, 1, None)}
+    assert held(table) == {1.0: (b"other", 150, 1, 1, 2)}
+
+
+def test_a_writers_step_is_done_once(spark, table):
+    table.upsert(frames(spark, (1, b"x")), "a", now=T1, writer=("w", 0))
+    table.upsert(frames(spark, (1, b"other")), "a", now=T2, writer=("w", 0))
+    table.upsert(frames(spark, (2, b"y")), "a", now=T2, writer=("v", 0))
+    assert held(table) == {1.0: (b"x", 150, 1, 1, None), 2.0: (b"y", 150, 1, 2, None)}
+
+
+@pytest.mark.parametrize("name", ["run=5", "run#1", "a%b", "2024-06-01T10:00", "a/b", "{*}[x]", ""])
+def test_any_load_name(spark, table, name):
+    table.upsert(frames(spark, (1, b"a"), (2, b"b"), (60, b"c")), name, now=T1)
+    table.upsert(frames(spark, (2, b"new"), (61, b"d"), (3, b"e")), name, now=T2)
+    assert {d: v[0] for d, v in held(table).items()} == {1.0: b"a", 2.0: b"new", 3.0: b"e", 60.0: b"c", 61.0: b"d"}
+
+
+def test_a_stale_merge_raises_and_changes_nothing(spark, table, tmp_path):
+    table.upsert(frames(spark, (1, b"a"), (2, b"b")), "a", now=T1)
+    stale = table.version()
+    table.upsert(frames(spark, (3, b"c")), "b", now=T1)
+    staged = frames(spark, (2, b"late"))
+    with pytest.raises(StaleVersionError):
+        table.merge_staged(staged, F.col("ord"), "c", stale, 0, T2)
+    assert {d: v[0] for d, v in held(table).items()} == {1.0: b"a", 2.0: b"b", 3.0: b"c"}
+
+
+@pytest.mark.parametrize("row", [(None, b"x"), (float("nan"), b"x"), (1.0, None)])
+def test_frames_without_depth_or_image_raise(spark, table, row):
+    rows = make(spark, [(row[0], row[1] and bytearray(row[1]), 1, 1)], "depth double, image_png binary, width int, height int")
+    with pytest.raises(Exception, match="a frame needs"):
+        table.upsert(rows, "a", now=T1)
+    assert held(table) == {}
+
+
+def test_the_log_is_one_file_per_version_and_stays_short(spark, table):
+    for k in range(25):
+        table.clear(f"c{k}")
+    names = [p.name for p in (Path(table.root) / "log").glob("*.json")]
+    assert max(names) == f"{25:012d}.json" and len(names) <= 21
 
 
 def test_empty_upsert_changes_nothing(spark, table):
@@ -75,7 +115,8 @@ def test_empty_upsert_changes_nothing(spark, table):
 def test_untouched_zones_keep_their_files(spark, table):
     table.upsert(frames(spark, (10, b"x"), (60, b"y"), (-5, b"n")), "a", now=T1)
     table.upsert(frames(spark, (61, b"z")), "b", now=T2)
-    assert {r.zone: r.gen for r in table.zones().collect()} == {-1: "a", 0: "a", 1: "b"}
+    gens = {r.zone: r.gen for r in table.zones().collect()}
+    assert gens[-1] == gens[0] != gens[1]
     assert sorted(held(table)) == [-5.0, 10.0, 60.0, 61.0]
 
 
@@ -95,9 +136,11 @@ def test_extreme_depths(spark, table):
 
 def test_delete(spark, table):
     table.upsert(frames(spark, (100.5, b"a"), (200, b"b")), "a", now=T1)
-    keys = make(spark, [(100.5,), (999.9,)], "depth double")
+    keys = make(spark, [(100.5,), (999.9,), (201.0,)], "depth double")
+    before = {r.zone: r.gen for r in table.zones().collect()}
     report = table.delete(keys, "d")
-    assert {r.depth: r.deleted for r in report.collect()} == {100.5: True, 999.9: False}
+    assert {r.zone: r.gen for r in table.zones().collect()} == {4: before[4]}
+    assert {r.depth: r.deleted for r in report.collect()} == {100.5: True, 201.0: False, 999.9: False}
     assert sorted(held(table)) == [200.0]
     (metrics,) = table.metrics().collect()
     assert tuple(metrics) == (1, 200.0, 200.0)
@@ -163,9 +206,8 @@ def test_one_depth_holding_a_third_of_all_rows(spark):
 
 
 def test_write_tasks():
-    assert write_tasks(0, 8) == 1
-    assert write_tasks(1000, 8) == 1
-    assert write_tasks(100_000, 8) == 5
-    assert write_tasks(FULL_TASK, 8) == 8
-    assert write_tasks(FULL_TASK * 3000, 8) == 3000
-    assert write_tasks(FULL_TASK * 10**6, 8) == MOST_TASKS
+    assert write_tasks(0, 0, 8) == 1
+    assert write_tasks(1000, 1000, 8) == 1
+    assert write_tasks(100_000, 10**6, 8) == 5
+    assert write_tasks(10**6, TASK_BYTES, 8) == 8
+    assert write_tasks(10**9, TASK_BYTES * 10**6, 8) == 10**6

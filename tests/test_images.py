@@ -27,6 +27,12 @@ def test_png_round_trip_and_damage():
         png.decode(encoded[0][:45] + b"!!" + encoded[0][47:])
 
 
+def test_missing_images_stay_missing(spark):
+    rows = make(spark, [(1, [1, 2]), (2, None)], "id int, px array<int>")
+    got = {r.id: r.rgb for r in images.decode_images(images.export_images(rows)).collect()}
+    assert len(got[1]) == 2 and got[2] is None
+
+
 def test_red_green_blue(spark):
     rgb = [(255, 0, 0), (0, 255, 0), (0, 0, 255)]
     df = make(spark, [(1.0, [dict(zip("rgb", c)) for c in rgb])], "depth double, rgb array<struct<r int, g int, b int>>")

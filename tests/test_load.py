@@ -59,11 +59,43 @@ def test_second_run_changes_only_the_update_time(spark, table, write_lines):
     reload_frames(spark, table, path, "one", 8, 6, now=T1)
     first = held(table)
     reload_frames(spark, table, path, "one", 8, 6, now=T2)
-    assert held(table) == first
-    reload_frames(spark, table, path, "two", 8, 6, now=T2)
     assert held(table) == {d: (*v[:4], 2) for d, v in first.items()}
 
 
+def test_another_file_under_the_same_name_is_loaded(spark, table, write_lines):
+    reload_frames(spark, table, write_lines([[1, *ramp(8)]], 8, "a.csv"), "one", 8, 6, now=T1)
+    report = reload_frames(spark, table, write_lines([[2, *ramp(8)], [3, *ramp(8)]], 8, "b.csv"), "one", 8, 6, now=T1)
+    assert sorted(held(table)) == [1.0, 2.0, 3.0]
+    assert report.status.first().message == "Successfully ingested 2 frames"
+
+
+def test_strict_load_goes_by_name(spark, table, write_lines):
+    path = write_lines([[7, 5, 100], [9, 6, 101]], header=["col2", "col1", "depth"])
+    reload_frames(spark, table, path, "one", 2, 2, now=T1, strict=True)
+    got, colours = held(table), palette()
+    assert {d: png.decode(v[0])[0].tolist() for d, v in got.items()} == {
+        100.0: [list(colours[5]), list(colours[7])],
+        101.0: [list(colours[6]), list(colours[9])],
+    }
+    with pytest.raises(ValueError, match="missing"):
+        reload_frames(spark, table, write_lines([[1, 2, 3]], header=["a", "b", "depth"]), "x", 2, 2, strict=True)
+
+
+def test_a_file_of_another_width_is_refused(spark, table, write_lines, tmp_path):
+    write_lines([[1, 1, 1, 1, 1]], 4, "a.csv")
+    write_lines([[2, 9, 9]], 2, "b.csv")
+    with pytest.raises(Exception, match="CSV header"):
+        reload_frames(spark, table, str(tmp_path), "x", 4, 4, now=T1)
+    assert held(table) == {}
+
+
+def test_an_empty_file_clears_nothing(spark, table, write_lines):
+    table.upsert(frames(spark, (5, b"old")), "old", now=T1)
+    with pytest.raises(ValueError, match="no lines"):
+        reload_frames(spark, table, write_lines([], 8), "x", 8, 6, clear_existing=True)
+    assert list(held(table)) == [5.0]
+
+
 def test_last_row_in_file_order_wins(spark, table, write_lines):
     rows = [[k % 10, *[k % 256] * 4] for k in range(3000)]
     path = write_lines(rows, 4)
@@ -130,7 +162,7 @@ def test_files_as_they_land(spark, table, write_lines, tmp_path):
         4.0: (list(colours[4]), 2, None),
     }
     metrics = stream_batch_metrics(table).orderBy("batch_id").collect()
-    assert [tuple(m) for m in metrics] == [(0, 2, 0, 1.0, 2.0), (1, 3, 1, 2.0, 4.0)]
+    assert [tuple(m)[1:] for m in metrics] == [(0, 2, 0, 1.0, 2.0), (1, 3, 1, 2.0, 4.0)]
     run(T2)
     assert held(table) == got
 
@@ -142,7 +174,28 @@ def test_replayed_batches_are_left_out(spark, table, write_lines, tmp_path):
     source, seen = str(tmp_path / "in"), []
     stream_ingest(spark, table, source, str(tmp_path / "first"), 4, 4, now=T1).awaitTermination()
     seen.append(held(table))
-    # The same batches again, as after losing the offsets of a run.
-    stream_ingest(spark, table, source, str(tmp_path / "second"), 4, 4, now=T2).awaitTermination()
+    # The last batch again, as if the run had ended before it was noted as done.
+    for commit in (tmp_path / "first" / "commits").glob("*"):
+        if commit.name.strip(".").split(".")[0] == max(p.name for p in (tmp_path / "first" / "offsets").glob("[0-9]*")):
+            commit.unlink()
+    stream_ingest(spark, table, source, str(tmp_path / "first"), 4, 4, now=T2).awaitTermination()
     assert held(table) == seen[0] and len(seen[0]) == 6
     assert stream_batch_metrics(table).agg(F.sum("rows")).first()[0] == 6
+
+
+def test_two_folders_into_one_table(spark, table, write_lines, tmp_path):
+    for k in range(2):
+        (tmp_path / f"in{k}").mkdir()
+        write_lines([[k, *[k] * 4]], 4, f"in{k}/a.csv")
+        stream_ingest(spark, table, str(tmp_path / f"in{k}"), str(tmp_path / f"at{k}"), 4, 4, now=T1).awaitTermination()
+    assert sorted(held(table)) == [0.0, 1.0]
+    assert stream_batch_metrics(table).agg(F.sum("rows")).first()[0] == 2
+
+
+def test_a_stream_refuses_a_file_of_another_width(spark, table, write_lines, tmp_path):
+    (tmp_path / "in").mkdir()
+    write_lines([[1, 1, 1, 1, 1]], 4, "in/a.csv")
+    write_lines([[2, 9, 9]], 2, "in/b.csv")
+    with pytest.raises(Exception, match="(CSV header|Expected 5 columns)"):
+        stream_ingest(spark, table, str(tmp_path / "in"), str(tmp_path / "at"), 4, 4, now=T1).awaitTermination()
+    assert 2.0 not in held(table)
