@@ -121,18 +121,24 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs:
     """
     sizes = stored(sizes_of(docs, seed), "sizes")
     cuts = source_cuts(sizes, source_targets(sizes, weights, epochs))
-    rows = _with_cuts(docs.withColumns({"size": word_count(F.col("text")), "place": seeded_place(seed)}), cuts)
-    rows = rows.withColumn("_taken", taken_words()).where("_taken > 0")
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("source").cast("string"),
+        F.col("text").cast("string"), word_count(F.col("text")).alias("size"), seeded_place(seed).alias("place"),
+    )
+    rows = _with_cuts(rows, cuts).withColumn("_taken", taken_words()).where("_taken > 0")
     whole, more = F.expr("_taken div size"), F.col("_taken") % F.col("size")
     words = F.expr(r"filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> '')")
     cut_text = F.when(more > 0, F.array_join(F.slice(words, F.lit(1), F.greatest(more, F.lit(1)).cast("int")), " "))
     texts = F.array_repeat(F.col("text"), whole.cast("int"))
-    rows = rows.withColumn("_texts", F.when(more > 0, F.concat(texts, F.array(cut_text))).otherwise(texts))
-    rest = [F.col(c) for c in docs.columns if c not in ("text", "n_chars")]
-    rows = rows.select(*rest, F.explode("_texts").alias("text"))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    texts = F.when(more > 0, F.concat(texts, F.array(cut_text))).otherwise(texts)
+    rows = rows.select("_row", F.explode(texts).alias("_text"))
+    new = {"text": F.col("_text"), "n_chars": F.length("_text")}
+    return rows.select(
+        *[
+            (new[c].cast(docs.schema[c].dataType) if c in new else F.col(f"_row.`{c}`")).alias(c)
+            for c in docs.columns
+        ]
+    )
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
