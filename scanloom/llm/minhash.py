@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanloom.llm.components import components
-from scanloom.llm.store import in_python, stored
+from scanloom.llm.store import in_python, runs_of, stored
 from scanloom.llm.text import Words, mix, text_slices, words_of
 
 SHINGLE = 5
@@ -118,29 +118,6 @@ def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Runs of equal leading columns of sorted rows; a run may span batches."""
-    kept: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
-        change = np.zeros(batch.num_rows, bool)
-        for column in columns:
-            change[1:] |= column[1:] != column[:-1]
-        change[0] = bool(kept) and any(kept[-1].column(k)[-1].as_py() != columns[k][0] for k in range(keys))
-        first = 0
-        for at in np.flatnonzero(change):
-            if at > first:
-                kept.append(batch.slice(first, at - first))
-            if kept:
-                yield pa.Table.from_batches(kept)
-            kept, first = [], int(at)
-        kept.append(batch.slice(first))
-    if kept:
-        yield pa.Table.from_batches(kept)
-
-
 def _signs(table: pa.Table) -> np.ndarray:
     return table.column("signature").combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
 
@@ -159,7 +136,7 @@ def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def _best_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table in _groups(batches, 2):
+    for table in runs_of(batches, 2):
         reps, signs = table.column("rep").to_numpy(), _signs(table)
         for first in range(0, len(reps), 2 * BLOCK):  # blocks are about BLOCK long; twice that is the most at once
             own, part = reps[first : first + 2 * BLOCK], signs[first : first + 2 * BLOCK]
@@ -185,7 +162,7 @@ def _reaches(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _links_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table in _groups(batches, 3):
+    for table in runs_of(batches, 3):
         stray = table.column("stray").to_numpy(zero_copy_only=False).astype(bool)
         reps, signs = table.column("rep").to_numpy(), _signs(table)
         labels = table.column("component").to_pylist()

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm.store import in_python, stored
+from scanloom.llm.store import in_python, runs_of, stored
 
 CAPACITY = 2048
 GROUP = 256
@@ -201,10 +201,8 @@ def near_equal_windows(sizes: list[int], capacity: int = CAPACITY) -> list[list[
 
 
 def _window_batches(capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    from scanloom.llm.minhash import _groups
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, 1):
+        for table in runs_of(batches, 1):
             table = table.sort_by("place")
             group, lengths = table.column("group")[0].as_py(), table.column("length").to_pylist()
             numbers, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)

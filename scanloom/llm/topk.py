@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scanloom.llm.store import in_python, stored
+from scanloom.llm.store import in_python, runs_of, stored
 
 K = 5
 QUERY_EVERY = 50
@@ -91,10 +91,8 @@ def _best(queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, terms: np
 
 
 def _meetings(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    from scanloom.llm.minhash import _groups
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, 2):
+        for table in runs_of(batches, 2):
             asks = table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
             ids = table.column("vec_id").to_numpy()
             width = int(np.diff(table.column("terms").combine_chunks().offsets.to_numpy()).max(initial=0))
