@@ -184,6 +184,8 @@ ORACLE: dict[str, str] = {
         FROM orders""",
     "count_frames": "SELECT count(*) AS frames FROM orders WHERE o_totalprice BETWEEN 150000 AND 300000",
     "depth_extent": "SELECT min(o_totalprice) AS depth_min, max(o_totalprice) AS depth_max FROM orders",
+    "table_page": f"""WITH {LOADED}
+        SELECT {LOADED_COLUMNS} FROM loaded WHERE depth BETWEEN 10 AND 140 ORDER BY depth LIMIT 30 OFFSET 60""",
     "store_metrics": """
         SELECT count(DISTINCT o_custkey) AS total_frames, CAST(min(o_custkey) AS DOUBLE) AS depth_min,
                CAST(max(o_custkey) AS DOUBLE) AS depth_max

@@ -126,8 +126,8 @@ def batch_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.batch_profile(numbered, 500)
 
 
-def _loaded_table(spark: SparkSession, sf_dir: str) -> FrameTable:
-    frames = FrameTable(spark, fresh_folder(spark, "frames"), zone_width=500.0)
+def _loaded_table(spark: SparkSession, sf_dir: str, zone_width: float = 500.0) -> FrameTable:
+    frames = FrameTable(spark, fresh_folder(spark, "frames"), zone_width)
     frames.upsert(loads(spark, sf_dir), "first", order=F.col("o_orderkey"), now=NOW)
     return frames
 
@@ -286,6 +286,12 @@ def depth_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranges.depth_extent(readings(spark, sf_dir))
 
 
+@query
+def table_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of a table of many zones, within bounds that cut the first of them."""
+    return _frame_rows(_loaded_table(spark, sf_dir, zone_width=25.0).page(30, 60, depth_min=10.0, depth_max=140.0))
+
+
 @query
 def store_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _loaded_table(spark, sf_dir).metrics()

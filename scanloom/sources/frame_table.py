@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from scanloom.operators import keyed
-from scanloom.operators.ranges import depth_range
+from scanloom.operators.ranges import DEFAULT_LIMIT, check_page_request, depth_page, depth_range
 from scanloom.session import create_file, drop_path, fresh_folder, names_in, read_file, size_of
 
 FRAME = T.StructType(
@@ -154,6 +154,38 @@ class FrameTable:
         columns = [*FRAME.fieldNames(), *["image_bytes"] * sizes]
         return depth_range(self._stored(zones).select(*columns), depth_min, depth_max)
 
+    def page(
+        self,
+        limit: int = DEFAULT_LIMIT,
+        offset: int = 0,
+        depth_min: float | None = None,
+        depth_max: float | None = None,
+    ) -> DataFrame:
+        """``limit`` frames after skipping ``offset``, by depth, within inclusive bounds if given.
+
+        The log's counts tell which zones the page lies in; the ones before it
+        are not opened, however large the offset.
+        """
+        check_page_request(None, None, limit, offset)
+        low = -float("inf") if depth_min is None else float(depth_min)
+        high = float("inf") if depth_max is None else float(depth_max)
+        chosen, held = {}, 0
+        for zone, about in sorted(self.version().zones.items()):
+            if about.depth_max < low or about.depth_min > high:
+                continue
+            rows = about.rows
+            if about.depth_min < low:  # only a zone that the lower bound cuts has to be counted
+                rows = depth_range(self._stored({zone: about}).select("depth"), low, high).count()
+            if not chosen and rows <= offset:
+                offset -= rows
+                continue
+            chosen[zone] = about
+            held += rows
+            if held >= offset + limit:
+                break
+        rows = depth_range(self._stored(chosen).select(*FRAME.fieldNames()), depth_min, depth_max)
+        return depth_page(rows, limit, offset)
+
     def metrics(self) -> DataFrame:
         """Total frames, image bytes and depth extent, from the log alone."""
         return self.zones().agg(

@@ -1,3 +1,4 @@
+import re
 from datetime import datetime, timezone
 from pathlib import Path
 
@@ -128,6 +129,26 @@ def test_range_read_opens_only_zones_in_reach(spark, table):
     assert table.read(1000).count() == 0
 
 
+@pytest.mark.parametrize("low, high", [(None, None), (12, None), (12, 222), (60, 99)])
+@pytest.mark.parametrize("offset", [0, 3, 20, 47, 1000])
+def test_pages_open_only_their_zones(spark, table, low, high, offset):
+    depths = [float(d) for d in range(0, 300, 5)]
+    table.upsert(frames(spark, *[(d, b"x") for d in depths]), "a", now=T1)
+    page = table.page(10, offset, low, high)
+    inside = [d for d in depths if (low is None or d >= low) and (high is None or d <= high)]
+    assert [r.depth for r in page.collect()] == inside[offset : offset + 10]
+    assert len(page.inputFiles()) <= 2
+
+
+def test_a_page_far_down_keeps_few_rows(spark, table):
+    wide = spark.range(60_000).selectExpr("CAST(id AS DOUBLE) AS depth", "encode('x', 'UTF-8') AS image_png", "1 AS width", "1 AS height")
+    table.upsert(wide, "a", now=T1)
+    page = table.page(10, 59_930)
+    assert page.agg(F.min("depth"), F.count("*")).first()[:] == (59_930.0, 10)
+    limits = re.findall(r"limit=([0-9]+)|Limit ([0-9]+)", page._jdf.queryExecution().executedPlan().toString())
+    assert limits and max(int(a or b) for a, b in limits) <= 60
+
+
 def test_extreme_depths(spark, table):
     table.upsert(frames(spark, (float("inf"), b"i"), (-float("inf"), b"j"), (1e300, b"k")), "a", now=T1)
     assert sorted(held(table)) == [-float("inf"), 1e300, float("inf")]
