@@ -2,7 +2,7 @@ import random
 import re
 from collections import Counter
 
-from conftest import SF_DIR, ODD, docs_of
+from text_cases import ODD, docs_of, documents  # noqa: F401
 
 from scanloom.llm.components import components
 from scanloom.llm.minhash import near_duplicates, without_near_duplicates
@@ -85,4 +85,3 @@ def test_components_of_a_long_path_and_a_star(spark):
     links = [(k, k + 1) for k in range(100, 160)] + [(k, 3) for k in range(4, 60)] + [(9, 9)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{k: 100 for k in range(100, 161)}, **{k: 3 for k in range(3, 60)}}
-    assert SF_DIR

@@ -8,7 +8,7 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pytest
-from conftest import ODD, SF_DIR, docs_of
+from text_cases import ODD, SF_DIR, docs_of, documents  # noqa: F401
 
 import corpus_pipeline
 from compare import difference

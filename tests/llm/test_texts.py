@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import ODD, docs_of
+from text_cases import ODD, docs_of, documents  # noqa: F401
 
 from scanloom.llm import counts, langid, packing, secret_scan
 from scanloom.llm.text import text_slices, words_of

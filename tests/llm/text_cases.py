@@ -1,12 +1,7 @@
-import sys
-from pathlib import Path
+"""Documents for the tests of text operators."""
 
 import pytest
 
-sys.path[:0] = [str(Path(__file__).resolve().parents[1]), str(Path(__file__).resolve().parents[2])]
-
-from scanloom.session import build_session  # noqa: E402
-
 SF_DIR = "/root/testdata/sf0.001"
 #: Columns of documents, and extra ones with names that operators use inside.
 SCHEMA = (
@@ -15,11 +10,6 @@ SCHEMA = (
 )
 
 
-@pytest.fixture(scope="session")
-def spark():
-    return build_session("local[8]", 4)
-
-
 @pytest.fixture(scope="session")
 def documents(spark):
     return spark.read.parquet(f"{SF_DIR}/documents.parquet")
