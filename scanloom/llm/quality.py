@@ -83,16 +83,23 @@ def _counted(docs: DataFrame) -> DataFrame:
     )
 
 
+def _total(name: str) -> Column:
+    return F.aggregate(name, F.lit(0.0), lambda a, v: a + v)
+
+
 def _distance(one: str, other: str) -> Column:
-    """Jensen-Shannon distance of two count arrays, each divided by its sum; null if either is empty."""
-    sums = [F.aggregate(name, F.lit(0.0), lambda a, v: a + v) for name in (one, other)]
+    """Jensen-Shannon distance of two count arrays, each divided by its sum; null if either is empty.
+
+    The sums are columns ``<name>_sum``: inside the lambda they would be added up anew for every element.
+    """
 
     def part(p: Column, q: Column) -> Column:
         middle = (p + q) / 2
         own = F.when(p > 0, p * F.log2(p / middle)).otherwise(0.0)
         return own + F.when(q > 0, q * F.log2(q / middle)).otherwise(0.0)
 
-    shares = F.zip_with(one, other, lambda a, b: part(a / F.nullif(sums[0], F.lit(0.0)), b / F.nullif(sums[1], F.lit(0.0))))
+    sums = [F.nullif(F.col(f"{name}_sum"), F.lit(0.0)) for name in (one, other)]
+    shares = F.zip_with(one, other, lambda a, b: part(a / sums[0], b / sums[1]))
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(shares, F.lit(0.0), lambda a, v: a + v) / 2))
 
 
@@ -111,10 +118,12 @@ def quality_rules(docs: DataFrame, least_words: int = LEAST_WORDS, limit: float
         F.array(*[f"c{i}" for i in range(7)]).alias("class_reference"),
         F.array(*[f"w{i}" for i in range(len(WORDS) + 1)]).alias("word_reference"),
     )
-    references = stored(references, "references")
+    totals = {f"{name}_sum": _total(name) for name in ("class_reference", "word_reference")}
+    references = stored(references.withColumns(totals), "references")
     rows = counted.join(references, F.col("lang").eqNullSafe(F.col("of")), "left").withColumns(
         {"by_class": F.col("by_class").cast("array<double>"), "by_word": F.col("by_word").cast("array<double>")}
     )
+    rows = rows.withColumns({f"{name}_sum": _total(name) for name in ("by_class", "by_word")})
     rows = rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).alias("base_failed"),
