@@ -8,9 +8,8 @@ of their own, all others share classes by hash; the network predicts the class,
 the class's corpus count. Counts are taken over all texts. The network has a table of vectors per context place, whose
 sum goes through tanh to a softmax over the classes.
 
-It learns from every word of all texts, where they lie: in each of ``ROUNDS`` passes every task goes on from the common
-parameters over its own texts, with every second word and then with the others, and the results are averaged by words
-seen. A task sends
+It learns from every second word of all texts, where they lie: in each of ``ROUNDS`` passes every task goes on from the
+common parameters over its own texts with other words, and the results are averaged by words seen. A task sends
 its counts and its parameters, so what is gathered grows with the input, while what workers are given does not.
 """
 
@@ -30,6 +29,8 @@ BUCKETS = 1 << 18
 CLASSES, OWN = 128, 64
 PLACES = (-2, -1, 1, 2)
 HIDDEN = 24
+#: Each round learns from every EVERY-th word, so both together from every second.
+EVERY = 4
 ROUNDS = 2
 STEP_WORDS = 1024
 CHUNK = 16_384
@@ -143,8 +144,8 @@ def _learn_batches(values: np.ndarray, classes: np.ndarray, turn: int) -> Callab
         for batch in batches:
             for _, _, buckets, bounds in _slices(batch.column(0)):
                 own = classes[buckets].astype(np.int64)
-                # A part of the words in each round, all of them over the rounds; in shuffled order.
-                at = np.arange(turn, len(own), ROUNDS)
+                # Other words in each round, in shuffled order.
+                at = np.arange(turn * EVERY // ROUNDS, len(own), EVERY)
                 at = np.random.default_rng(len(own) + turn).permutation(at)
                 for i in range(0, len(at), STEP_WORDS):
                     part = at[i : i + STEP_WORDS]
