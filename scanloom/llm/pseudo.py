@@ -8,9 +8,10 @@ of their own, all others share classes by hash; the network predicts the class,
 the class's corpus count. Counts are taken over all texts. The network has a table of vectors per context place, whose
 sum goes through tanh to a softmax over the classes.
 
-It learns from every second word of all texts, where they lie: in each of ``ROUNDS`` passes every task goes on from the
-common parameters over its own texts with other words, and the results are averaged by words seen. A task sends
-its counts and its parameters, so what is gathered grows with the input, while what workers are given does not.
+It learns from every word of all texts, where they lie: in each of ``ROUNDS`` passes every task goes on from the common
+parameters over its own texts with other words, each word being hidden in one of the passes, and the results are
+averaged by words seen. A task sends its counts and its parameters, so what is gathered grows with the input, while what
+workers are given does not.
 """
 
 from __future__ import annotations
@@ -29,8 +30,7 @@ BUCKETS = 1 << 18
 CLASSES, OWN = 128, 64
 PLACES = (-2, -1, 1, 2)
 HIDDEN = 24
-#: Each round learns from every EVERY-th word, so both together from every second.
-EVERY = 4
+#: Each round learns from every ROUNDS-th word, so all together from every word.
 ROUNDS = 2
 STEP_WORDS = 1024
 CHUNK = 16_384
@@ -102,7 +102,7 @@ def gradients(params: Params, context: np.ndarray, target: np.ndarray) -> Params
     inner = (share @ params["out"].T) * (1 - hidden * hidden)
     enter = np.zeros_like(params["enter"])
     for k, classes in enumerate(context):  # sums by class, over sorted rows
-        order = np.argsort(classes, kind="stable")
+        order = np.argsort(classes.astype(np.int16), kind="stable")  # short integers are sorted by radix
         found = classes[order]
         first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
         enter[k][found[first]] = np.add.reduceat(inner[order], first, axis=0)
@@ -145,7 +145,7 @@ def _learn_batches(values: np.ndarray, classes: np.ndarray, turn: int) -> Callab
             for _, _, buckets, bounds in _slices(batch.column(0)):
                 own = classes[buckets].astype(np.int64)
                 # Other words in each round, in shuffled order.
-                at = np.arange(turn * EVERY // ROUNDS, len(own), EVERY)
+                at = np.arange(turn, len(own), ROUNDS)
                 at = np.random.default_rng(len(own) + turn).permutation(at)
                 for i in range(0, len(at), STEP_WORDS):
                     part = at[i : i + STEP_WORDS]

@@ -7,6 +7,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from text_cases import ODD, SF_DIR, docs_of, documents  # noqa: F401
 
@@ -152,6 +153,18 @@ def test_network_gradients():
         assert grads[name].reshape(-1)[at] == pytest.approx((up - down) / 2e-4, rel=1e-3)
 
 
+def test_every_word_is_hidden_once(monkeypatch):
+    """Over the rounds each word of each text is a target exactly once, in copies with an even number of words, too."""
+    texts = ["one two three four"] * 5 + ["", "alone", "a b c"]
+    places, contexts = Counter(), pseudo.contexts
+    monkeypatch.setattr(pseudo, "contexts", lambda own, bounds, at: places.update(at.tolist()) or contexts(own, bounds, at))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    classes, _ = pseudo.classes_of(np.ones(pseudo.BUCKETS, np.int64))
+    for turn in range(pseudo.ROUNDS):
+        assert len(list(pseudo._learn_batches(pseudo.flat(pseudo.new_params()), classes, turn)(iter([batch])))) == 1
+    assert places == Counter(range(24))
+
+
 def test_windows_cover_every_word():
     starts, lengths, first = toxicity.windows_of(np.array([0, 0, 1, 33, 200]))
     covered = {k for s, n in zip(starts, lengths) for k in range(s, s + n)}
