@@ -3,20 +3,24 @@
 Every word of a text is predicted from the two words before and the two after it, itself hidden, by a network trained
 in NumPy; the log-probabilities, summed over the text, are its score.
 
-Words (lower-cased in A-Z) are hashed into ``BUCKETS``. The buckets with the highest corpus counts are output classes
-of their own, all others share classes by hash; the network predicts the class, and within it a word has its share of
-the class's corpus count. Counts are taken over all texts. The network has a table of vectors per context place, whose
-sum goes through tanh to a softmax over the classes.
+Words (lower-cased in A-Z) are hashed into ``BUCKETS``, which stand for them from here on. The buckets with the highest
+corpus counts are output classes of their own, all others share classes by hash. The network predicts the class by a
+softmax, and the word within it by the turns of the class's Huffman tree of counts: each inner node has a vector and is a
+logistic regression on the hidden layer that starts from the counts of its two sides. Counts are taken over all texts.
+The hidden layer is a tanh over the sum of a vector per context place and class and, in its last ``WIDTH`` units, of the
+context words' own vectors.
 
 It learns from every word of all texts, where they lie: in each of ``ROUNDS`` passes every task goes on from the common
-parameters over its own texts with other words, each word being hidden in one of the passes, and the results are
-averaged by words seen. A task sends its counts and its parameters, so what is gathered grows with the input, while what
-workers are given does not.
+parameters over its own texts with other words, each word being hidden in one of the passes. The results are averaged by
+words seen, for vectors of words and nodes by how often a task had them. A task sends its counts, its parameters and the
+changes of the vectors it touched, so what is gathered grows with the input, while what workers are given does not.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +34,18 @@ BUCKETS = 1 << 18
 CLASSES, OWN = 128, 64
 PLACES = (-2, -1, 1, 2)
 HIDDEN = 24
+#: Hidden units that words' own vectors enter, and that decide within classes.
+WIDTH = 8
+#: Rows of the table of vectors: words, the place beyond a text's ends, and from NODES on the trees' nodes.
+NODES, ROWS = BUCKETS + 1, 2 * BUCKETS + 256
+#: Rows are sent and averaged in groups.
+GROUP, PART = 256, 1024
 #: Each round learns from every ROUNDS-th word, so all together from every word.
 ROUNDS = 2
 STEP_WORDS = 1024
-CHUNK = 16_384
+CHUNK = 2048
 RATE = 0.004
+WORD_RATE = 0.1
 SEED = 20240504
 
 _SHAPES = {"enter": (len(PLACES), CLASSES + 1, HIDDEN), "bias": (HIDDEN,), "out": (HIDDEN, CLASSES), "shift": (CLASSES,)}
@@ -69,44 +80,148 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         yield first, last, _buckets(words) if len(words.starts) else np.zeros(0, np.int64), words.bounds
 
 
-def contexts(classes: np.ndarray, bounds: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Classes around the words ``at``; beyond a text's ends stands an extra class."""
+def contexts(buckets: np.ndarray, bounds: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Buckets around the words ``at``; beyond a text's ends stands an extra one."""
     text = np.searchsorted(bounds, at, "right") - 1
     low, high = bounds[text], bounds[text + 1]
     found = []
     for place in PLACES:
         there = at + place
         inside = (there >= low) & (there < high)
-        found.append(np.where(inside, classes[np.clip(there, 0, len(classes) - 1)], CLASSES))
+        found.append(np.where(inside, buckets[np.clip(there, 0, len(buckets) - 1)], BUCKETS))
     return np.array(found)
 
 
-def _hidden(params: Params, context: np.ndarray) -> np.ndarray:
-    total = params["enter"][0][context[0]]
+def _hidden(params: Params, context: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+    """``own`` are the sums of the context words' own vectors."""
+    total = params["enter"][0].take(context[0], axis=0)
     for k in range(1, len(PLACES)):
-        total += params["enter"][k][context[k]]
-    return np.tanh(total + params["bias"])
+        total += params["enter"][k].take(context[k], axis=0)
+    total += params["bias"]
+    if own is not None:
+        total[:, -WIDTH:] += own
+    return np.tanh(total, out=total)
 
 
 def _logits(params: Params, hidden: np.ndarray) -> np.ndarray:
-    return np.minimum(hidden @ params["out"] + params["shift"], 60)
+    logits = hidden @ params["out"]
+    logits += params["shift"]
+    return np.minimum(logits, 60, out=logits)
 
 
-def gradients(params: Params, context: np.ndarray, target: np.ndarray) -> Params:
-    """Gradients of the mean negative log-probability of the hidden words' classes."""
-    hidden = _hidden(params, context)
-    share = np.exp(_logits(params, hidden))
+def gradients(
+    params: Params,
+    context: np.ndarray,
+    target: np.ndarray,
+    own: np.ndarray | None = None,
+    within: Callable[[np.ndarray], np.ndarray] | None = None,
+) -> Params:
+    """Gradients of the mean negative log-probability of the hidden words' classes.
+
+    ``within`` gives the gradient of what else is predicted from the last hidden units. "own" is that of ``own``.
+    """
+    hidden = _hidden(params, context, own)
+    share = _logits(params, hidden)
+    np.exp(share, out=share)
     share /= share.sum(axis=1, keepdims=True)
     share[np.arange(len(target)), target] -= 1
     share /= len(target)
-    inner = (share @ params["out"].T) * (1 - hidden * hidden)
+    inner = share @ params["out"].T
+    if within is not None:
+        inner[:, -WIDTH:] += within(hidden[:, -WIDTH:]) / len(target)
+    inner *= 1 - hidden * hidden
     enter = np.zeros_like(params["enter"])
-    for k, classes in enumerate(context):  # sums by class, over sorted rows
-        order = np.argsort(classes.astype(np.int16), kind="stable")  # short integers are sorted by radix
-        found = classes[order]
-        first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
-        enter[k][found[first]] = np.add.reduceat(inner[order], first, axis=0)
-    return {"enter": enter, "bias": inner.sum(axis=0), "out": hidden.T @ share, "shift": share.sum(axis=0)}
+    for k, classes in enumerate(context):
+        order, first, found = _runs(classes.astype(np.int16))
+        enter[k][found] = np.add.reduceat(inner.take(order, axis=0), first, axis=0)
+    sums = {"enter": enter, "bias": inner.sum(axis=0), "out": hidden.T @ share, "shift": share.sum(axis=0)}
+    return sums | {"own": inner[:, -WIDTH:]}
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that sorts the keys, where each key's run begins in it, and the keys of the runs."""
+    if keys.dtype == np.int16:  # short integers are sorted by radix
+        order = np.argsort(keys, kind="stable")
+        found = keys[order]
+    else:
+        both = (keys.astype(np.int64) << 32) | np.arange(len(keys))
+        both.sort()
+        order, found = both & 0xFFFFFFFF, both >> 32
+    first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+    return order, first, found[first]
+
+
+@dataclass
+class Trees:
+    """Of each bucket the way from its leaf to its class's root: ``steps[starts[b]:starts[b + 1]]``.
+
+    A step is twice the node, and one more on the node's right side. ``base`` is the log-odds of the left side by counts.
+    """
+
+    starts: np.ndarray
+    steps: np.ndarray
+    base: np.ndarray
+    #: The place of each bucket by falling count, which stands for it in all tables: what is often used lies together.
+    ranks: np.ndarray
+
+    def ways(self, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Nodes and sides (1 or -1) on the ways of the buckets, one after the other, and each way's length."""
+        first = self.starts.take(buckets)
+        count = self.starts.take(buckets + 1) - first
+        ends = np.cumsum(count)
+        steps = self.steps.take(np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + count, count))
+        return steps >> 1, (1 - 2 * (steps & 1)).astype(np.float32), count
+
+
+def trees_of(counts: np.ndarray, classes: np.ndarray, ranks: np.ndarray) -> Trees:
+    """Huffman trees of the counted buckets of each class; counts and classes by rank."""
+    parent, base, totals = np.full(2 * BUCKETS, -1, np.int64), np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.int64)
+    side, nodes = np.zeros(2 * BUCKETS, np.int64), 0
+    full = np.flatnonzero(counts)
+    full = full[np.argsort(classes[full], kind="stable")]
+    for members in np.split(full, np.flatnonzero(np.diff(classes[full])) + 1):
+        heap = list(zip(counts[members].tolist(), members.tolist()))
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            low, left = heapq.heappop(heap)
+            high, right = heap[0]
+            parent[left] = parent[right] = nodes
+            side[right] = 1
+            base[nodes], totals[nodes] = np.log(low / high), low + high
+            heapq.heapreplace(heap, (low + high, BUCKETS + nodes))
+            nodes += 1
+    leaves, at, ways = full, full, []
+    while len(leaves):
+        inner = parent[at] >= 0
+        leaves, at = leaves[inner], at[inner]
+        ways.append((leaves, parent[at] * 2 + side[at]))
+        at = BUCKETS + parent[at]
+    leaf, steps = (np.concatenate(x) if ways else np.zeros(0, np.int64) for x in (list(zip(*ways)) or [(), ()]))
+    starts = np.concatenate([[0], np.cumsum(np.bincount(leaf, minlength=BUCKETS))])
+    order = np.argsort(-totals, kind="stable")  # nodes by falling count, too
+    place = np.empty(BUCKETS, np.int64)
+    place[order] = np.arange(BUCKETS)
+    steps = (2 * place[steps >> 1] + (steps & 1))[np.argsort(leaf, kind="stable")]
+    return Trees(starts.astype(np.int32), steps.astype(np.int32), base[order], ranks)
+
+
+def _odds(rows: np.ndarray, trees: Trees, hidden: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each step on the buckets' ways: the log-odds of the side taken, the node, its row, side and input; way lengths."""
+    node, side, count = trees.ways(buckets)
+    given = np.ones((len(hidden), WIDTH + 1), np.float32)
+    given[:, :WIDTH] = hidden
+    given, own = given.take(np.repeat(np.arange(len(hidden)), count), axis=0), rows.take(NODES + node, axis=0)[:, : WIDTH + 1]
+    return side * (np.einsum("ij,ij->i", given, own) + trees.base.take(node)), node, own, side, given, count
+
+
+def within_gradients(rows: np.ndarray, trees: Trees, hidden: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Gradients of the summed negative log-probability within classes: of ``hidden``, and of the nodes on the ways."""
+    odds, node, own, side, given, count = _odds(rows, trees, hidden, buckets)
+    slope = (-side / (1 + np.exp(np.minimum(odds, 60))))[:, None]
+    back, some = np.zeros_like(hidden), count > 0
+    if len(node):
+        back[some] = np.add.reduceat(slope * own[:, :WIDTH], (np.cumsum(count) - count)[some], axis=0)
+    return back, node, slope * given
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,29 +242,119 @@ def bucket_counts(texts: DataFrame) -> np.ndarray:
     return counts
 
 
-def classes_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The class of each bucket, and the log-share of a bucket's words in its class."""
+def classes_of(counts: np.ndarray) -> tuple[np.ndarray, Trees]:
+    """The class of each rank, with one for the place beyond a text's ends, and the trees of words within classes."""
     spread = mix(np.arange(BUCKETS, dtype=np.uint64) + np.uint64(1)) % np.uint64(CLASSES - OWN)
-    classes = OWN + spread.astype(np.int64)
-    own = np.lexsort((np.arange(BUCKETS), -counts))[:OWN]
-    classes[own] = np.arange(OWN)
-    smoothed = counts + 1.0
-    return classes.astype(np.int16), np.log(smoothed / np.bincount(classes, smoothed, CLASSES)[classes]).astype(np.float32)
+    order, ranks = np.lexsort((np.arange(BUCKETS), -counts)), np.empty(BUCKETS, np.int32)
+    ranks[order] = np.arange(BUCKETS)
+    classes = np.concatenate([OWN + spread.astype(np.int64)[order], [CLASSES]])
+    classes[:OWN] = np.arange(OWN)
+    return classes.astype(np.int16), trees_of(counts[order], classes[:-1], ranks)
+
+
+def new_rows() -> np.ndarray:
+    """Vectors of words and nodes, and the nodes' shifts; with zeros the counts alone decide within classes."""
+    return np.zeros((ROWS, WIDTH + 1), np.float32)
+
+
+def _sums(rows: np.ndarray, around: np.ndarray) -> np.ndarray:
+    total = rows.take(around[0], axis=0)
+    for k in range(1, len(PLACES)):
+        total += rows.take(around[k], axis=0)
+    return total[:, :WIDTH]
 
 
-def _learn_batches(values: np.ndarray, classes: np.ndarray, turn: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+class _Words:
+    """The vectors of a task, learned at a rate that falls with a row's past gradients.
+
+    A row of ``state`` also holds these gradients' squares and how often the row was seen.
+    """
+
+    def __init__(self, rows: np.ndarray, trees: Trees):
+        self.given, self.trees = rows, trees
+        self.state = np.zeros((ROWS, WIDTH + 3), np.float32)
+        self.state[:, :-2] = rows
+
+    def step(self, around: np.ndarray, own: np.ndarray, node: np.ndarray, nodes: np.ndarray) -> None:
+        """Gradients of the words around, equal for all places, and of the nodes on the ways."""
+        self._change(around.reshape(-1), own, WIDTH)
+        if len(node):
+            self._change(NODES + node, nodes, WIDTH + 1)
+
+    def _change(self, keys: np.ndarray, grads: np.ndarray, width: int) -> None:
+        order, first, found = _runs(keys)
+        sums = np.add.reduceat(grads.take(order if len(grads) == len(keys) else order % len(grads), axis=0), first, axis=0)
+        state = self.state.take(found, axis=0)
+        state[:, -1] += np.diff(np.append(first, len(keys)))
+        state[:, -2] += np.einsum("ij,ij->i", sums, sums) / WIDTH
+        state[:, :width] -= sums * (WORD_RATE / np.sqrt(1 + state[:, -2:-1]))
+        self.state[found] = state
+
+    def changes(self) -> Iterator[tuple[int, bytes]]:
+        """By group: places, how often seen, and changes in half precision, whose weighted sums are exact."""
+        for group in range(ROWS // GROUP):
+            part = slice(group * GROUP, (group + 1) * GROUP)
+            at = np.flatnonzero(self.state[part, -1])
+            if len(at):
+                state = self.state[part][at]
+                change = (state[:, :-2] - self.given[part][at]).astype(np.float16)
+                yield group, at.astype(np.uint8).tobytes() + state[:, -1].astype(np.int32).tobytes() + change.tobytes()
+
+
+def _param_parts(params: Params, seen: int) -> Iterator[tuple[int, bytes]]:
+    """The parameters in parts of PART, numbered -1, -2 and so on, each after the number of words seen."""
+    values = flat(params)
+    for k, i in enumerate(range(0, len(values), PART), 1):
+        yield -k, np.int64(seen).tobytes() + values[i : i + PART].astype(np.float32).tobytes()
+
+
+def _mean_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Means of the parts, weighted by what was seen."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for key, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if key < 0:
+                values, seen = np.frombuffer(part, np.float32, offset=8)[None].astype(np.float64), np.frombuffer(part, np.int64, 1)
+                at, size = np.zeros(1, np.int64), 1
+            else:
+                n = len(part) // (5 + 2 * (WIDTH + 1))
+                at, seen, size = np.frombuffer(part, np.uint8, n), np.frombuffer(part, np.int32, n, n), GROUP
+                values = np.frombuffer(part, np.float16, offset=5 * n).reshape(n, WIDTH + 1).astype(np.float64)
+            total = sums.setdefault(key, np.zeros((size, values.shape[1] + 1)))
+            total[at, :-1] += values * seen[:, None]
+            total[at, -1] += seen
+    # Rounded, so that the order of summing cannot show.
+    means = [np.round(t[:, :-1] / np.maximum(t[:, -1:], 1), 6).astype(np.float32).tobytes() for t in sums.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(means, pa.binary())], ["part", "mean"])
+
+
+def _learn_batches(
+    values: np.ndarray, classes: np.ndarray, turn: int, rows: np.ndarray | None = None, trees: Trees | None = None
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Without ``rows`` and ``trees``: new ones, and nothing is learned within classes."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         params, seen, step = shaped(values), 0, 0
+        words = _Words(new_rows() if rows is None else rows, trees or trees_of(np.zeros(BUCKETS, np.int64), classes, np.arange(BUCKETS)))
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in params.items()}
         for batch in batches:
             for _, _, buckets, bounds in _slices(batch.column(0)):
-                own = classes[buckets].astype(np.int64)
+                buckets = words.trees.ranks.take(buckets)
                 # Other words in each round, in shuffled order.
-                at = np.arange(turn, len(own), ROUNDS)
-                at = np.random.default_rng(len(own) + turn).permutation(at)
+                at = np.arange(turn, len(buckets), ROUNDS)
+                at = np.random.default_rng(len(buckets) + turn).permutation(at)
                 for i in range(0, len(at), STEP_WORDS):
                     part = at[i : i + STEP_WORDS]
-                    grads = gradients(params, contexts(own, bounds, part), own[part])
+                    around, hidden_words, found = contexts(buckets, bounds, part), buckets[part], []
+
+                    def within(hidden: np.ndarray) -> np.ndarray:
+                        back, *nodes = within_gradients(words.state, words.trees, hidden, hidden_words)
+                        found.extend(nodes)
+                        return back
+
+                    own = _sums(words.state, around)
+                    grads = gradients(params, classes.take(around), classes.take(hidden_words).astype(np.int64), own, within)
+                    words.step(around, grads.pop("own") * len(part), *found)
                     step += 1
                     for k, g in grads.items():
                         m, v = moments[k]
@@ -158,32 +363,43 @@ def _learn_batches(values: np.ndarray, classes: np.ndarray, turn: int) -> Callab
                         params[k] -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
                 seen += len(at)
         if seen:
-            weighted = flat(params).astype(np.float64) * seen
-            columns = [pa.array(np.arange(len(weighted))), pa.array(weighted), pa.array(np.full(len(weighted), seen))]
-            yield pa.RecordBatch.from_arrays(columns, ["place", "value", "seen"])
+            keys, parts = zip(*_param_parts(params, seen), *words.changes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(parts, pa.binary())], ["part", "sent"])
 
     return work
 
-
-def learn(texts: DataFrame, classes: np.ndarray) -> Params:
-    values = flat(new_params())
+def learn(texts: DataFrame, classes: np.ndarray, trees: Trees) -> tuple[Params, np.ndarray]:
+    values, rows = flat(new_params()), new_rows()
     for turn in range(ROUNDS):
-        sent = in_python(texts, _learn_batches(values, classes, turn), "place long, value double, seen long")
-        means = sent.groupBy("place").agg((F.sum("value") / F.sum("seen")).alias("value"))
-        for row in means.collect():  # as many rows as the network has parameters
-            values[row["place"]] = round(row["value"], 6)  # rounded, so that the order of summing cannot show
-    return shaped(values)
-
-
-def _score_batches(params: Params, classes: np.ndarray, shares: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        sent = in_python(texts, _learn_batches(values, classes, turn, rows, trees), "part int, sent binary")
+        means = in_python(sent.repartition("part"), _mean_batches, "part int, mean binary")
+        rows = rows.copy()
+        for part, mean in means.collect():  # as many rows as the tables have parts
+            mean = np.frombuffer(mean, np.float32)
+            if part < 0:
+                values[(-part - 1) * PART :][: len(mean)] = mean
+            else:
+                rows[part * GROUP : (part + 1) * GROUP] += mean.reshape(GROUP, WIDTH + 1)
+    return shaped(values), rows
+
+
+def _score_batches(
+    params: Params, rows: np.ndarray, classes: np.ndarray, trees: Trees
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, buckets, bounds in _slices(batch.column(1)):
-                own, scores = classes[buckets].astype(np.int64), np.zeros(len(buckets) + 1)
-                for i in range(0, len(own), CHUNK):
-                    at = np.arange(i, min(i + CHUNK, len(own)))
-                    logits = _logits(params, _hidden(params, contexts(own, bounds, at)))
-                    scores[at + 1] = logits[np.arange(len(at)), own[at]] - np.log(np.exp(logits).sum(axis=1)) + shares[buckets[at]]
+                buckets, scores = trees.ranks.take(buckets), np.zeros(len(buckets) + 1)
+                for i in range(0, len(buckets), CHUNK):
+                    at = np.arange(i, min(i + CHUNK, len(buckets)))
+                    around, target = contexts(buckets, bounds, at), classes[buckets[at]]
+                    hidden = _hidden(params, classes.take(around), _sums(rows, around))
+                    logits = _logits(params, hidden)
+                    scores[at + 1] = logits[np.arange(len(at)), target] - np.log(np.exp(logits, out=logits).sum(axis=1))
+                    odds, *_, count = _odds(rows, trees, hidden[:, -WIDTH:], buckets[at])
+                    turns = np.concatenate([[0], np.cumsum(-np.log1p(np.exp(np.minimum(-odds, 60))), dtype=np.float64)])
+                    ends = np.cumsum(count)
+                    scores[at + 1] += turns[ends] - turns[ends - count]
                 sums = np.cumsum(scores)
                 count, total = np.diff(bounds), sums[bounds[1:]] - sums[bounds[:-1]]
                 mean = pa.array(np.round(total / np.maximum(count, 1), 4), mask=count == 0)
@@ -202,10 +418,10 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     texts = rows.select("text")
-    classes, shares = classes_of(bucket_counts(texts))
-    params = learn(texts, classes)
+    classes, trees = classes_of(bucket_counts(texts))
+    params, vectors = learn(texts, classes, trees)
     schema = "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double"
-    return in_python(rows, _score_batches(params, classes, shares), schema)
+    return in_python(rows, _score_batches(params, vectors, classes, trees), schema)
 
 
 def op1_pseudo(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -165,6 +165,64 @@ def test_every_word_is_hidden_once(monkeypatch):
     assert places == Counter(range(24))
 
 
+def test_rare_words_are_told_apart(spark):
+    """A word that follows its partner is likelier than one of the same class and count; held-out texts beat the counts."""
+    pairs = [(f"left{k}", f"right{k}") for k in range(400)]
+
+    def texts(seed, times):
+        order = np.random.default_rng(seed).permutation(np.tile(np.arange(len(pairs)), times)).reshape(-1, 20)
+        return [" ".join(w for k in row for w in pairs[k]) for row in order.tolist()]
+
+    docs = spark.createDataFrame([(t,) for t in texts(1, 200)], "text string").coalesce(1)
+    counts = pseudo.bucket_counts(docs)
+    classes, trees = pseudo.classes_of(counts)
+    score = pseudo._score_batches(*pseudo.learn(docs, classes, trees), classes, trees)
+
+    def scores(given):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(given))), pa.array(given)], ["doc_id", "text"])
+        return [r for b in score(iter([batch])) for r in b.to_pylist()]
+
+    held = scores(texts(2, 10))
+    mean = sum(r["log_likelihood"] for r in held) / sum(r["n_words"] for r in held)
+    assert mean > np.log(1 / 800) + 0.5
+    place = {w: int(trees.ranks[next(pseudo._slices(pa.array([w])))[2][0]]) for _, w in pairs}
+    rare = [p for p in pairs if place[p[1]] >= pseudo.OWN]
+    swaps = [(a, b, c) for i, (a, b) in enumerate(rare) for _, c in rare[i + 1 :] if classes[place[b]] == classes[place[c]]]
+    right, wrong = (scores([f"{a} {w[k]}" for a, *w in swaps]) for k in (0, 1))
+    better = [x["log_likelihood"] > y["log_likelihood"] for x, y in zip(right, wrong)]
+    assert len(swaps) > 100 and np.mean(better) > 0.9
+
+
+def test_gradients_within_classes():
+    rng = np.random.default_rng(3)
+    counts = np.zeros(pseudo.BUCKETS, np.int64)
+    counts[:3000] = rng.integers(1, 50, 3000)
+    _, trees = pseudo.classes_of(counts)
+    rows = pseudo.new_rows().astype(np.float64)
+    # Without vectors a word has its share of its class's count.
+    classes = pseudo.classes_of(counts)[0]
+    words, at = np.arange(3000), trees.ranks[:3000]
+    odds, *_, count = pseudo._odds(rows, trees, np.zeros((3000, pseudo.WIDTH)), at)
+    ends = np.cumsum(count)
+    turns = np.concatenate([[0], np.cumsum(-np.logaddexp(0, -odds))])
+    share = counts[words] / np.bincount(classes[at], counts[:3000])[classes[at]]
+    assert turns[ends] - turns[ends - count] == pytest.approx(np.log(share), abs=1e-3)
+    rows[pseudo.NODES :] = rng.standard_normal(rows[pseudo.NODES :].shape)
+    hidden, target = rng.standard_normal((40, pseudo.WIDTH)), at[rng.integers(0, 3000, 40)]
+    back, node, nodes = pseudo.within_gradients(rows, trees, hidden, target)
+    loss = lambda: np.logaddexp(0, -pseudo._odds(rows, trees, hidden, target)[0]).sum()
+    summed = np.zeros_like(rows)
+    np.add.at(summed, pseudo.NODES + node, nodes)
+    for values, grads in ((hidden, back), (rows, summed)):
+        flat, i = values.reshape(-1), int(np.abs(grads).argmax())
+        kept, sides = flat[i], []
+        for change in (1e-2, -1e-2):
+            flat[i] = kept + change
+            sides.append(loss())
+        flat[i] = kept
+        assert grads.reshape(-1)[i] == pytest.approx((sides[0] - sides[1]) / 2e-2, rel=1e-2)
+
+
 def test_windows_cover_every_word():
     starts, lengths, first = toxicity.windows_of(np.array([0, 0, 1, 33, 200]))
     covered = {k for s, n in zip(starts, lengths) for k in range(s, s + n)}
