@@ -1,8 +1,8 @@
 """Secrets in texts: fixed patterns, and a battery of randomness tests on long unbroken tokens.
 
-The patterns find assignments, access keys and long hexadecimal strings. Besides, every run of 20 or more characters of
-the base64 and base64url alphabets that holds a digit and a letter and overlaps no pattern match is a candidate. Its
-encoding (hex, base32, alphanumeric, base64) is inferred from its characters; then three tests ask whether it can be a
+The patterns find assignments, access keys and long hexadecimal strings. Besides, what these leave of every run of
+characters of the base64 and base64url alphabets is a candidate, each stretch of 20 or more by itself, if it holds a
+letter and a digit, or letters of both cases (others are no likely draws from any of the alphabets below). Its encoding (hex, base32, alphanumeric, base64) is inferred from its characters; then three tests ask whether it can be a
 uniform draw from that alphabet: chi-squared over its symbols, the number of runs above and below the alphabet's middle,
 and the lag-1 serial correlation of symbol ranks.
 
@@ -101,18 +101,27 @@ def random_tokens(tokens: list[str]) -> list[bool]:
     return [i not in rejected for i in range(len(tokens))]
 
 
+def _remainders(first: int, last: int, spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """What the spans leave of ``first`` to ``last``, in stretches of LEAST or more."""
+    left = []
+    for start, end in sorted((s[1], s[2]) for s in spans if s[1] < last and first < s[2]):
+        left.append((first, start))
+        first = max(first, end)
+    return [(a, b) for a, b in [*left, (first, last)] if b - a >= LEAST]
+
+
+def _can_be_random(token: str) -> bool:
+    lower, upper = (any(f(c) for c in token) for f in (str.islower, str.isupper))
+    return lower and upper or (lower or upper) and any(c.isdigit() for c in token)
+
+
 def spans_of(text: str) -> list[tuple[str, int, int]]:
     """``(kind, start, end)`` in code points, by start, then kind."""
     spans = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
     spans += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= 16]
     spans += [("hex", *m.span()) for m in HEX.finditer(text)]
-    free = []
-    for m in CANDIDATE.finditer(text):
-        token = m[0]
-        if any(c.isdigit() for c in token) and any(c.isalpha() for c in token):
-            if not any(start < m.end() and m.start() < end for _, start, end in spans):
-                free.append(m)
-    spans += [("random", *m.span()) for m, kept in zip(free, random_tokens([m[0] for m in free])) if kept]
+    free = [x for m in CANDIDATE.finditer(text) for x in _remainders(*m.span(), spans) if _can_be_random(text[slice(*x)])]
+    spans += [("random", *x) for x, kept in zip(free, random_tokens([text[slice(*x)] for x in free])) if kept]
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

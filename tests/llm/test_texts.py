@@ -79,6 +79,29 @@ def test_random_tokens_are_found_and_words_are_not():
         assert not found(token)
 
 
+def test_what_patterns_leave_of_a_token_is_tested():
+    rng = np.random.default_rng(5)
+    draw = lambda alphabet, n: "".join(rng.choice(list(alphabet), n))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    key, texts = "AKIA" + "Z9" * 8, {}
+    for _ in range(50):
+        part = draw(secret_scan.RANKS["alphanumeric"], 40)
+        texts[f"see {key}/{part} there"] = part
+        texts[f"see {part}/token=abcdefgh there"] = part
+        texts[f"see {key}/{part}/token=abcdefgh there"] = part
+        part = draw(letters, 32)
+        texts[f"see {part} there"] = part
+    covered = 0
+    for text, part in texts.items():
+        spans, at = secret_scan.spans_of(text), text.index(part)
+        covered += any(kind == "random" and start <= at and at + len(part) <= end for kind, start, end in spans)
+        assert [s for s in spans if s[0] != "random"] == base_spans(text)
+        ends = [0] + [x for s in spans for x in s[1:]]
+        assert ends == sorted(ends)
+    assert covered >= 0.9 * len(texts)
+    assert not [s for s in secret_scan.spans_of(f"see {key}/short/token=abcdefgh there") if s[0] == "random"]
+
+
 def test_masking_keeps_everything_else(spark):
     docs = docs_of(spark, [(1, "x password=abcdefgh1 y"), (2, None), (3, "clean"), (4, "")])
     masked = secret_scan.mask_secrets(docs)
