@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from scanloom.llm.counts import op2_counts
+from scanloom.llm.divergence import OP13_SQL, op13_divergence
 from scanloom.llm.langid import op4_langid
 from scanloom.llm.minhash import op5_minhash
 from scanloom.llm.mixing import OP6_SQL, op6_mixing
@@ -23,7 +24,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_pseudo, op2_counts, op3_quality, op4_langid, op5_minhash,
-        op6_mixing, op7_topk, op8_packing, op9_secrets, op10_toxicity,
+        op6_mixing, op7_topk, op8_packing, op9_secrets, op10_toxicity, op13_divergence,
     )
 }
-ORACLE: dict[str, str] = {"op6_mixing": OP6_SQL, "op7_topk": OP7_SQL}
+ORACLE: dict[str, str] = {"op6_mixing": OP6_SQL, "op7_topk": OP7_SQL, "op13_divergence": OP13_SQL}
