@@ -26,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scanloom.llm.store import stored
+
 # Fixed values of the contract.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 LEAST_DOCUMENTS = 10
@@ -55,31 +57,41 @@ def _terms(docs: DataFrame) -> DataFrame:
 
 
 def audit(docs: DataFrame) -> DataFrame:
-    """Rows ``lang, source, part, item, value, rank`` of the contract; see the module's docstring."""
+    """Rows ``lang, source, part, item, value, rank`` of the contract; see the module's docstring.
+
+    Postings, groups and the streamed corrections are written to the shared folder once, as all later steps read
+    them more than once.
+    """
     terms = _terms(docs)
-    groups = terms.groupBy("lang", "source").agg(F.lit(1).alias("present")).drop("present")
-    in_documents = (
+    in_documents = stored(
         terms.select("lang", F.explode(F.array_distinct("terms")).alias("term"))
         .groupBy("lang", "term").count()
         .where(F.col("count") >= LEAST_DOCUMENTS)
-        .select("lang", "term")
+        .select("lang", "term"),
+        "divergence-terms",
     )
-    width = in_documents.groupBy("lang").agg(F.count(F.lit(1)).alias("V"))
-    counted = (
+    counted = stored(
         terms.select("lang", "source", F.explode("terms").alias("term"))
         .groupBy("lang", "source", "term").agg(F.count(F.lit(1)).alias("c"))
-        .join(in_documents, ["lang", "term"], "left_semi")
+        .join(in_documents, ["lang", "term"], "left_semi"),
+        "divergence-counts",
     )
+    width = in_documents.groupBy("lang").agg(F.count(F.lit(1)).alias("V"))
     totals = counted.groupBy("lang", "source").agg(F.sum("c").alias("N"))
-    groups = (
-        groups.join(totals, ["lang", "source"], "left").join(width, "lang", "left")
+    groups = stored(
+        terms.select("lang", "source").distinct()
+        .join(totals, ["lang", "source"], "left").join(width, "lang", "left")
         .select("lang", "source", F.coalesce("N", F.lit(0)).alias("N"), F.coalesce("V", F.lit(0)).alias("V"))
-        .withColumn("base", F.when(F.col("V") > 0, _exact_p(F.lit(0), F.col("N"), F.col("V"))))
+        .withColumn("base", F.when(F.col("V") > 0, _exact_p(F.lit(0), F.col("N"), F.col("V")))),
+        "divergence-groups",
     )
-    postings = counted.join(groups, ["lang", "source"]).select(
-        "lang", "source", "term", "c", "base", _exact_p(F.col("c"), F.col("N"), F.col("V")).alias("p")
+    postings = stored(
+        counted.join(groups, ["lang", "source"]).select(
+            "lang", "source", "term", "c", "base", _exact_p(F.col("c"), F.col("N"), F.col("V")).alias("p")
+        ),
+        "divergence-postings",
     )
-    return _term_part(postings, counted, groups).unionByName(_pair_part(postings, groups))
+    return _term_part(postings, groups).unionByName(_pair_part(postings, groups))
 
 
 def _exact_p(count: Column, total: Column, kept: Column) -> Column:
@@ -97,9 +109,9 @@ def _ranked(rows: DataFrame, most: int | None) -> DataFrame:
     return rows.select("lang", "source", "part", "item", "value", F.col("rank").cast("int"))
 
 
-def _term_part(postings: DataFrame, counted: DataFrame, groups: DataFrame) -> DataFrame:
+def _term_part(postings: DataFrame, groups: DataFrame) -> DataFrame:
     """Each kept term of a group against its language: only terms the group holds and holds more often."""
-    per_lang = counted.groupBy("lang", "term").agg(F.sum("c").alias("lc"))
+    per_lang = postings.groupBy("lang", "term").agg(F.sum("c").alias("lc"))
     lang_total = groups.groupBy("lang").agg(F.sum("N").alias("LN"), F.max("V").alias("LV"))
     lang_p = per_lang.join(lang_total, "lang").select(
         "lang", "term", _exact_p(F.col("lc"), F.col("LN"), F.col("LV")).alias("q")
@@ -121,7 +133,7 @@ def _pair_part(postings: DataFrame, groups: DataFrame) -> DataFrame:
     )
     mine = postings.select("lang", "source", "term", "p", "base", shard.cast("int").alias("shard"))
     theirs = postings.select("lang", F.col("source").alias("other"), "term", F.col("p").alias("other_p"))
-    streamed = (
+    streamed = stored(
         mine.join(others, ["lang", "shard"]).where(F.col("source") != F.col("other"))
         .join(theirs, ["lang", "other", "term"], "left")
         .select(
@@ -130,7 +142,8 @@ def _pair_part(postings: DataFrame, groups: DataFrame) -> DataFrame:
             F.col("other_p").isNotNull().alias("both"),
         )
         .groupBy("lang", "source", "other")
-        .agg(F.sum("d").alias("alone"), F.sum(F.when(F.col("both"), F.col("d")).otherwise(0)).alias("both"))
+        .agg(F.sum("d").alias("alone"), F.sum(F.when(F.col("both"), F.col("d")).otherwise(0)).alias("both")),
+        "divergence-pairs",
     )
     pairs = groups.alias("a").join(groups.alias("b"), "lang").where(F.col("a.source") != F.col("b.source")).select(
         "lang", F.col("a.source").alias("source"), F.col("b.source").alias("other"),
