@@ -12,6 +12,7 @@ from scanloom.llm.langid import op4_langid
 from scanloom.llm.minhash import op5_minhash
 from scanloom.llm.mixing import OP6_SQL, op6_mixing
 from scanloom.llm.packing import op8_packing
+from scanloom.llm.phrases import OP11_SQL, op11_phrases
 from scanloom.llm.pseudo import op1_pseudo
 from scanloom.llm.quality import op3_quality
 from scanloom.llm.secret_scan import op9_secrets
@@ -24,7 +25,8 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_pseudo, op2_counts, op3_quality, op4_langid, op5_minhash,
-        op6_mixing, op7_topk, op8_packing, op9_secrets, op10_toxicity, op13_divergence,
+        op6_mixing, op7_topk, op8_packing, op9_secrets, op10_toxicity, op11_phrases,
+        op13_divergence,
     )
 }
-ORACLE: dict[str, str] = {"op6_mixing": OP6_SQL, "op7_topk": OP7_SQL, "op13_divergence": OP13_SQL}
+ORACLE: dict[str, str] = {"op6_mixing": OP6_SQL, "op7_topk": OP7_SQL, "op11_phrases": OP11_SQL, "op13_divergence": OP13_SQL}
