@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scanloom.llm.counts import op2_counts
 from scanloom.llm.divergence import OP13_SQL, op13_divergence
+from scanloom.llm.fingerprints import op12_fingerprints
 from scanloom.llm.langid import op4_langid
 from scanloom.llm.minhash import op5_minhash
 from scanloom.llm.mixing import OP6_SQL, op6_mixing
@@ -26,7 +27,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_pseudo, op2_counts, op3_quality, op4_langid, op5_minhash,
         op6_mixing, op7_topk, op8_packing, op9_secrets, op10_toxicity, op11_phrases,
-        op13_divergence,
+        op12_fingerprints, op13_divergence,
     )
 }
 ORACLE: dict[str, str] = {"op6_mixing": OP6_SQL, "op7_topk": OP7_SQL, "op11_phrases": OP11_SQL, "op13_divergence": OP13_SQL}
