@@ -163,6 +163,8 @@ ORACLE: dict[str, str] = {
     "depth_lookup": f"WITH {LOADED} SELECT {LOADED_COLUMNS} FROM loaded WHERE depth = 100",
     "depth_page": """
         SELECT o_totalprice AS depth, o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 50 OFFSET 100""",
+    "deep_page": """
+        SELECT o_totalprice AS depth, o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 100 OFFSET 12000""",
     "page_has_more": f"WITH {PAGE} SELECT depth, o_orderkey, has_more FROM page WHERE n <= 100",
     "page_metadata": f"""
         WITH {PAGE}

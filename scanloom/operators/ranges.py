@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanloom.operators.numbering import number_rows
+from scanloom.operators.selection import ranked_slice
 
 DEFAULT_LIMIT = 100
 MAX_LIMIT = 1000
@@ -52,8 +53,8 @@ def depth_lookup(df: DataFrame, depth: float) -> DataFrame:
 def depth_page(
     df: DataFrame, limit: int = DEFAULT_LIMIT, offset: int = 0, order: Sequence[str] = ("depth",)
 ) -> DataFrame:
-    """``limit`` rows after skipping ``offset``, by ascending depth."""
-    return df.orderBy(*order).offset(offset).limit(limit)
+    """``limit`` rows after skipping ``offset``, by ascending depth; deep pages by rank selection."""
+    return ranked_slice(df, order, offset, limit)
 
 
 def page_has_more(
