@@ -3,8 +3,8 @@
 Method: single-pass in-memory indexing. Every task turns its texts into postings and adds them up in memory, keyed by
 (lang, source, term); when the memory of the task fills, Spark's aggregation spills the block as a run sorted by key
 and merges its runs again at the end, and the shuffle deals the merged blocks out by a hash of the key, so each hash
-shard merges all runs of its keys into one frequency. These are the two aggregations below, one for occurrences and
-one for documents per term; neither keeps a whole group anywhere, so a hot source, language or term costs as much as
+shard merges all runs of its keys into one frequency. This is the aggregation by (lang, source, term) below, which
+counts occurrences and documents at once; it keeps no whole group anywhere, so a hot source, language or term costs as much as
 its distinct keys.
 
 Frequencies become smoothed parts per billion, ``p = 1 + floor(10^9 * (count + 2) / (N + 2V))``, in exact decimal
@@ -60,19 +60,23 @@ def audit(docs: DataFrame) -> DataFrame:
     them more than once.
     """
     terms = _terms(docs)
+    # One pass: each text gives its terms (tag 0, occurrences) and its distinct terms (tag 1, documents).
+    tagged = F.concat(
+        F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(False).alias("distinct"))),
+        F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(True).alias("distinct"))),
+    )
+    per_group = stored(
+        terms.select("lang", "source", F.inline(tagged))
+        .groupBy("lang", "source", "term")
+        .agg(F.count_if(~F.col("distinct")).alias("c"), F.count_if("distinct").alias("documents")),
+        "divergence-groups-terms",
+    )
     in_documents = stored(
-        terms.select("lang", F.explode(F.array_distinct("terms")).alias("term"))
-        .groupBy("lang", "term").count()
-        .where(F.col("count") >= LEAST_DOCUMENTS)
-        .select("lang", "term"),
+        per_group.groupBy("lang", "term").agg(F.sum("documents").alias("documents"))
+        .where(F.col("documents") >= LEAST_DOCUMENTS).select("lang", "term"),
         "divergence-terms",
     )
-    counted = stored(
-        terms.select("lang", "source", F.explode("terms").alias("term"))
-        .groupBy("lang", "source", "term").agg(F.count(F.lit(1)).alias("c"))
-        .join(in_documents, ["lang", "term"], "left_semi"),
-        "divergence-counts",
-    )
+    counted = per_group.join(in_documents, ["lang", "term"], "left_semi").select("lang", "source", "term", "c")
     width = in_documents.groupBy("lang").agg(F.count(F.lit(1)).alias("V"))
     totals = counted.groupBy("lang", "source").agg(F.sum("c").alias("N"))
     groups = stored(
