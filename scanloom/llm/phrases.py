@@ -1,14 +1,16 @@
 """Phrase collocation mining with stripes.
 
 Method: the stripes pattern. Every prefix of one or two words keys a stripe, an associative counter of the words that
-follow it inside a piece; the end of a piece counts as the word '' (no word is empty). A document yields one stripe
-cell per prefix occurrence, and stripes are merged elementwise: Spark adds cells of equal ``(lang, prefix, next)``
-first inside each task (the map-side combine of in-mapper stripes) and then once more after dealing them out by that
-key, so a hot prefix, whose stripe may be as long as the vocabulary, is spread over as many tasks as it has cells.
-One pass over the merged stripes then gives everything:
-
-* extensions: the cell ``prefix -> next`` holds f(prefix + next), so cells of 10 or more are the candidates;
-* prefix totals: a stripe's sum is f(prefix), the counts of the cuts, and the sum of one-word stripes is n;
+follow it inside a piece; the end of a piece is a null word. The stripes nest: the cell ``w1 -> w2`` of a one-word
+stripe is the total of the two-word stripe ``w1 w2``, so a row ``(w1, w2, w3)`` per word position is a cell of both.
+Stripes are merged elementwise: Spark adds cells of equal ``(lang, w1, w2, w3)`` first inside each task (the
+map-side combine of in-mapper stripes) and then once more after dealing them out by that key, so a hot prefix, whose
+stripe may be as long as the vocabulary, is spread over as many tasks as it has cells. The merged stripes are written
+once, and everything comes from them:
+
+* extensions: a cell holds f(prefix + next), so cells of 10 or more are the candidates;
+* prefix totals: a stripe's sum is f(prefix), the counts of the cuts, and the sum of one-word stripes is n; as no part
+  of a candidate is rarer than the candidate, only prefixes of 10 or more are looked up;
 * subsumption maxima: the largest cell of a two-word stripe is the most frequent candidate that extends the prefix to
   the right; the largest three-word cell ending in a pair, the one that extends it to the left.
 
@@ -26,6 +28,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scanloom.llm.store import stored
+
 # Fixed values of the contract.
 PIECE_BREAKS = r"[.,;:!?\x0A-\x0D]"
 WORD_BREAKS = r"[\x20\x09]+"
@@ -41,7 +45,12 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def stripe_cells(docs: DataFrame) -> DataFrame:
-    """Merged stripes: ``lang, order, prefix, next, c``; ``order`` is the prefix's number of words, ``next`` '' at an end."""
+    """Merged stripes: ``lang, w1, w2, w3, c``.
+
+    The stripe of ``w1`` counts each next word ``w2``, and the stripe of ``w1 w2`` each next word ``w3``; a null
+    ``w2`` or ``w3`` is the end of a piece. Nested like this, one row per word position holds both cells, and a
+    stripe's total is the sum of its cells.
+    """
     text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _UPPER, _LOWER)
     pieces = docs.select(
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
@@ -49,15 +58,13 @@ def stripe_cells(docs: DataFrame) -> DataFrame:
     )
     words = F.transform("pieces", lambda piece: F.filter(F.split(piece, WORD_BREAKS), lambda w: w != ""))
     of_piece = (
-        "IF(size(ws) = 0, array(), flatten(transform(sequence(0, size(ws) - 1), i -> IF(i + 1 < size(ws), "
-        "array(named_struct('order', 1, 'prefix', ws[i], 'next', ws[i + 1]), "
-        "named_struct('order', 2, 'prefix', concat(ws[i], ' ', ws[i + 1]), 'next', coalesce(get(ws, i + 2), ''))), "
-        "array(named_struct('order', 1, 'prefix', ws[i], 'next', ''))))))"
+        "IF(size(ws) = 0, array(), transform(sequence(0, size(ws) - 1), "
+        "i -> named_struct('w1', ws[i], 'w2', get(ws, i + 1), 'w3', get(ws, i + 2))))"
     )
     return (
         pieces.select("lang", words.alias("pieces"))
         .select("lang", F.inline(F.flatten(F.expr(f"transform(pieces, ws -> {of_piece})"))))
-        .groupBy("lang", "order", "prefix", "next")
+        .groupBy("lang", "w1", "w2", "w3")
         .agg(F.count(F.lit(1)).alias("c"))
     )
 
@@ -67,48 +74,50 @@ def _score(a: Column, left: Column, right: Column) -> Column:
     return F.call_function("div", a.cast(wide) * a.cast(wide) * F.lit(SCALE).cast(wide), left.cast(wide) * right.cast(wide)).cast("long")
 
 
+def _lowest_cut(*cuts: tuple[Column, Column]) -> list[Column]:
+    """``l, r, score`` of the cut with the lowest score, the first of equal ones."""
+    scored = [F.struct(_score(F.col("a"), left, right).alias("score"), F.lit(k).alias("k"), left.alias("l"), right.alias("r")) for k, (left, right) in enumerate(cuts)]
+    best = F.least(*scored) if len(scored) > 1 else scored[0]
+    return [best["l"].alias("l"), best["r"].alias("r"), best["score"].alias("score")]
+
+
 def collocations(docs: DataFrame) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score`` of the contract; see the module's docstring."""
-    stripes = stripe_cells(docs)
-    ends = F.col("next") == ""
-    totals = stripes.groupBy("lang", "order", "prefix").agg(
-        F.sum("c").alias("f"), F.max(F.when(~ends, F.col("c"))).alias("right_max")
-    )
+    stripes = stored(stripe_cells(docs), "phrase-stripes")
+    pairs = stored(
+        stripes.where(F.col("w2").isNotNull()).groupBy("lang", "w1", "w2").agg(
+            F.sum("c").alias("f"), F.max(F.when(F.col("w3").isNotNull(), F.col("c"))).alias("right_max")
+        ),
+        "phrase-pairs",
+    )  # the stripe totals of two-word prefixes, and their largest cells
+    singles = stripes.groupBy("lang", "w1").agg(F.sum("c").alias("f"))  # the stripe totals of one-word prefixes
+    n = singles.groupBy("lang").agg(F.sum("f").alias("n"))
+    frequent = singles.where(F.col("f") >= LEAST)  # every part of a candidate is at least as frequent as it
+    one = lambda w, f: frequent.select("lang", F.col("w1").alias(w), F.col("f").alias(f))
+    two = lambda u, v, f: pairs.where(F.col("f") >= LEAST).select("lang", F.col("w1").alias(u), F.col("w2").alias(v), F.col("f").alias(f))
     left_max = (
-        stripes.where((F.col("order") == 2) & ~ends)
-        .groupBy("lang", F.concat(F.substring_index("prefix", " ", -1), F.lit(" "), F.col("next")).alias("prefix"))
-        .agg(F.max("c").alias("left_max"))
-    )
-    candidates = stripes.where(~ends & (F.col("c") >= LEAST)).select(
-        "lang", F.concat("prefix", F.lit(" "), "next").alias("phrase"), (F.col("order") + 1).alias("size"),
-        F.col("c").alias("a"), F.split(F.concat("prefix", F.lit(" "), "next"), " ").alias("w"),
+        stripes.where(F.col("w3").isNotNull() & (F.col("c") >= LEAST))
+        .groupBy("lang", F.col("w2").alias("w1"), F.col("w3").alias("w2")).agg(F.max("c").alias("left_max"))
     )
-    cut = lambda k, side, part: F.struct(F.lit(k).alias("k"), F.lit(side).alias("side"), part.alias("part"))
-    w = lambda i: F.col("w")[i]
-    parts = F.when(
-        F.col("size") == 2, F.array(cut(1, 0, w(0)), cut(1, 1, w(1)))
-    ).otherwise(F.array(
-        cut(1, 0, w(0)), cut(1, 1, F.concat_ws(" ", w(1), w(2))), cut(2, 0, F.concat_ws(" ", w(0), w(1))), cut(2, 1, w(2))
-    ))
-    looked_up = (
-        candidates.select("lang", "phrase", "a", F.inline(parts))
-        .join(totals.select("lang", F.col("prefix").alias("part"), "f"), ["lang", "part"])
-        .groupBy("lang", "phrase", "a", "k")
-        .agg(F.max(F.when(F.col("side") == 0, F.col("f"))).alias("l"), F.max(F.when(F.col("side") == 1, F.col("f"))).alias("r"))
-        .withColumn("score", _score(F.col("a"), F.col("l"), F.col("r")))
-        .groupBy("lang", "phrase", "a")
-        .agg(F.min(F.struct("score", "k", "l", "r")).alias("best"))
-        .select("lang", "phrase", "a", "best.l", "best.r", "best.score")
+    doubles = (
+        pairs.where(F.col("f") >= LEAST).join(left_max, ["lang", "w1", "w2"], "left")
+        .where(~(F.coalesce(F.greatest("right_max", "left_max"), F.lit(0)) >= LEAST)
+               | (100 * F.greatest("right_max", "left_max") < SUBSUMED_PERCENT * F.col("f")))
+        .select("lang", "w1", "w2", F.col("f").alias("a"))
+        .join(one("w1", "f1"), ["lang", "w1"]).join(one("w2", "f2"), ["lang", "w2"])
+        .select("lang", F.concat_ws(" ", "w1", "w2").alias("phrase"), "a", *_lowest_cut((F.col("f1"), F.col("f2"))))
     )
-    longer = (
-        totals.where(F.col("order") == 2).select("lang", F.col("prefix").alias("phrase"), "right_max")
-        .join(left_max.withColumnRenamed("prefix", "phrase"), ["lang", "phrase"], "full")
-        .select("lang", "phrase", F.greatest("right_max", "left_max").alias("longest"))
+    triples = (
+        stripes.where(F.col("w3").isNotNull() & (F.col("c") >= LEAST))
+        .select("lang", "w1", "w2", "w3", F.col("c").alias("a"))
+        .join(one("w1", "f1"), ["lang", "w1"]).join(one("w3", "f3"), ["lang", "w3"])
+        .join(two("w1", "w2", "f12"), ["lang", "w1", "w2"]).join(two("w2", "w3", "f23"), ["lang", "w2", "w3"])
+        .select(
+            "lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "a",
+            *_lowest_cut((F.col("f1"), F.col("f23")), (F.col("f12"), F.col("f3"))),
+        )
     )
-    kept = looked_up.join(longer, ["lang", "phrase"], "left").where(
-        F.col("longest").isNull() | (F.col("longest") < LEAST) | (100 * F.col("longest") < SUBSUMED_PERCENT * F.col("a"))
-    )
-    n = totals.where(F.col("order") == 1).groupBy("lang").agg(F.sum("f").alias("n"))
+    kept = doubles.unionByName(triples)
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     shard = F.pmod(F.xxhash64("phrase"), F.lit(SHARDS))
     first = kept.withColumn("at", F.row_number().over(Window.partitionBy("lang", shard).orderBy(*order))).where(F.col("at") <= MOST)
