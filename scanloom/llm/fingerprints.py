@@ -86,25 +86,21 @@ def _with_next(rows: DataFrame) -> DataFrame:
     ranged = stored(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "fingerprint-ranges")
     within = Window.partitionBy("part").orderBy(*order)
     ordered = ranged.select(
-        "*",
-        F.lead("text").over(within).alias("next_text"),
-        F.lead("sketch").over(within).alias("next_sketch"),
-        F.row_number().over(within).alias("at"),
-        F.lead(F.lit(True)).over(within).isNull().alias("last"),
+        "*", F.lead("text").over(within).alias("next_text"), F.lead("sketch").over(within).alias("next_sketch")
     )
-    firsts = ordered.where(F.col("at") == 1).select("part", F.col("text").alias("first_text"), F.col("sketch").alias("first_sketch"))
-    parts = firsts.select("part")
-    following = parts.select(
+    # The first row of each range, by a minimum that each task takes of its own rows before anything is dealt out.
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text", "sketch")).alias("first")
+    firsts = ranged.groupBy("part").agg(first)
+    ranges = Window.orderBy("part")  # one row per range: one task is enough
+    following = firsts.select(
         "part",
-        F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy())).alias("next_part"),
-    )  # one row per range, so one task is enough
-    lasts = (
-        ordered.where("last").drop("next_text", "next_sketch")
-        .join(following, "part")
-        .join(firsts.withColumnRenamed("part", "next_part"), "next_part")
-        .select(*rows.columns, F.col("first_text").alias("next_text"), F.col("first_sketch").alias("next_sketch"))
-    )
-    return ordered.where(~F.col("last")).select(*rows.columns, "next_text", "next_sketch").unionByName(lasts)
+        F.coalesce(F.lead("first").over(ranges), F.first("first").over(ranges.rowsBetween(Window.unboundedPreceding, 0))).alias("following"),
+    )
+    return ordered.join(following, "part", "left").select(
+        *rows.columns,
+        F.coalesce("next_text", "following.text").alias("next_text"),
+        F.when(F.col("next_text").isNull(), F.col("following.sketch")).otherwise(F.col("next_sketch")).alias("next_sketch"),
+    )
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
