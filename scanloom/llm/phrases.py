@@ -3,10 +3,9 @@
 Method: the stripes pattern. Every prefix of one or two words keys a stripe, an associative counter of the words that
 follow it inside a piece; the end of a piece is a null word. The stripes nest: the cell ``w1 -> w2`` of a one-word
 stripe is the total of the two-word stripe ``w1 w2``, so a row ``(w1, w2, w3)`` per word position is a cell of both.
-Stripes are merged elementwise: Spark adds cells of equal ``(lang, w1, w2, w3)`` first inside each task (the
-map-side combine of in-mapper stripes) and then once more after dealing them out by that key, so a hot prefix, whose
-stripe may be as long as the vocabulary, is spread over as many tasks as it has cells. The merged stripes are written
-once, and everything comes from them:
+Cells are dealt out by their stripe, ``(lang, w1)``, with a hash of ``w2`` added so that a hot prefix, whose stripe
+may be as long as the vocabulary, is spread over ``SALTS`` tasks; there the stripes are merged elementwise (cells of
+equal ``(w2, w3)`` are added) and stay: everything comes from the merged stripes without dealing them out again.
 
 * extensions: a cell holds f(prefix + next), so cells of 10 or more are the candidates;
 * prefix totals: a stripe's sum is f(prefix), the counts of the cuts, and the sum of one-word stripes is n; as no part
@@ -28,7 +27,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scanloom.llm.store import stored
 
 # Fixed values of the contract.
 PIECE_BREAKS = r"[.,;:!?\x0A-\x0D]"
@@ -40,16 +38,19 @@ SCALE = 1_000_000
 SUBSUMED_PERCENT = 50
 #: Shards per language for the first ranking step.
 SHARDS = 64
+#: Parts of a stripe, dealt out by a hash of the next word, so that a hot prefix spreads over as many tasks.
+SALTS = 32
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def stripe_cells(docs: DataFrame) -> DataFrame:
-    """Merged stripes: ``lang, w1, w2, w3, c``.
+    """Merged stripes: ``lang, w1, salt, w2, w3, c`` and the words again as ``k1, k2, k3``.
 
     The stripe of ``w1`` counts each next word ``w2``, and the stripe of ``w1 w2`` each next word ``w3``; a null
     ``w2`` or ``w3`` is the end of a piece. Nested like this, one row per word position holds both cells, and a
-    stripe's total is the sum of its cells.
+    stripe's total is the sum of its cells. The copies ``k1, k2, k3`` are made by the merge: a condition on them, as
+    a join on words implies, stays above the merge, so that every later step reads the one shuffle of the stripes.
     """
     text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _UPPER, _LOWER)
     pieces = docs.select(
@@ -61,11 +62,16 @@ def stripe_cells(docs: DataFrame) -> DataFrame:
         "IF(size(ws) = 0, array(), transform(sequence(0, size(ws) - 1), "
         "i -> named_struct('w1', ws[i], 'w2', get(ws, i + 1), 'w3', get(ws, i + 2))))"
     )
+    positions = pieces.select("lang", words.alias("pieces")).select(
+        "lang", F.inline(F.flatten(F.expr(f"transform(pieces, ws -> {of_piece})")))
+    )
+    # Cells go to the task of their stripe, a hot prefix split by a hash of the next word; merged there, they stay
+    # there for the totals and the largest cells of the two-word stripes.
+    salt = F.pmod(F.xxhash64(F.coalesce("w2", F.lit(""))), F.lit(SALTS)).alias("salt")
     return (
-        pieces.select("lang", words.alias("pieces"))
-        .select("lang", F.inline(F.flatten(F.expr(f"transform(pieces, ws -> {of_piece})"))))
-        .groupBy("lang", "w1", "w2", "w3")
-        .agg(F.count(F.lit(1)).alias("c"))
+        positions.select("*", salt).repartition("lang", "w1", "salt")
+        .groupBy("lang", "w1", "salt", "w2", "w3")
+        .agg(F.count(F.lit(1)).alias("c"), *[F.max(w).alias(f"k{w[1]}") for w in ("w1", "w2", "w3")])
     )
 
 
@@ -83,20 +89,29 @@ def _lowest_cut(*cuts: tuple[Column, Column]) -> list[Column]:
 
 def collocations(docs: DataFrame) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score`` of the contract; see the module's docstring."""
-    stripes = stored(stripe_cells(docs), "phrase-stripes")
-    pairs = stored(
-        stripes.where(F.col("w2").isNotNull()).groupBy("lang", "w1", "w2").agg(
-            F.sum("c").alias("f"), F.max(F.when(F.col("w3").isNotNull(), F.col("c"))).alias("right_max")
-        ),
-        "phrase-pairs",
-    )  # the stripe totals of two-word prefixes, and their largest cells
-    singles = stripes.groupBy("lang", "w1").agg(F.sum("c").alias("f"))  # the stripe totals of one-word prefixes
+    stripes = stripe_cells(docs)
+    # Later steps read the words as ``k1, k2, k3`` and put conditions on counts: see ``stripe_cells``.
+    pairs = (
+        stripes.groupBy("lang", "w1", "salt", "w2")
+        .agg(
+            F.sum("c").alias("f"), F.max(F.when(F.col("k3").isNotNull(), F.col("c"))).alias("right_max"),
+            F.max("k1").alias("p1"), F.max("k2").alias("p2"),
+        )
+        .where(F.col("p2").isNotNull())
+        .select("lang", F.col("p1").alias("w1"), F.col("p2").alias("w2"), "f", "right_max")
+    )  # the stripe totals of two-word prefixes, and their largest cells, each in the task that holds the stripe
+    three_words = stripes.where(F.col("k3").isNotNull() & (F.col("c") >= LEAST)).select(
+        "lang", F.col("k1").alias("w1"), F.col("k2").alias("w2"), F.col("k3").alias("w3"), "c"
+    )
+    singles = stripes.groupBy("lang", "w1").agg(F.sum("c").alias("f"), F.max("k1").alias("word")).select(
+        "lang", F.col("word").alias("w1"), "f"
+    )  # the stripe totals of one-word prefixes
     n = singles.groupBy("lang").agg(F.sum("f").alias("n"))
     frequent = singles.where(F.col("f") >= LEAST)  # every part of a candidate is at least as frequent as it
     one = lambda w, f: frequent.select("lang", F.col("w1").alias(w), F.col("f").alias(f))
     two = lambda u, v, f: pairs.where(F.col("f") >= LEAST).select("lang", F.col("w1").alias(u), F.col("w2").alias(v), F.col("f").alias(f))
     left_max = (
-        stripes.where(F.col("w3").isNotNull() & (F.col("c") >= LEAST))
+        three_words
         .groupBy("lang", F.col("w2").alias("w1"), F.col("w3").alias("w2")).agg(F.max("c").alias("left_max"))
     )
     doubles = (
@@ -108,7 +123,7 @@ def collocations(docs: DataFrame) -> DataFrame:
         .select("lang", F.concat_ws(" ", "w1", "w2").alias("phrase"), "a", *_lowest_cut((F.col("f1"), F.col("f2"))))
     )
     triples = (
-        stripes.where(F.col("w3").isNotNull() & (F.col("c") >= LEAST))
+        three_words
         .select("lang", "w1", "w2", "w3", F.col("c").alias("a"))
         .join(one("w1", "f1"), ["lang", "w1"]).join(one("w3", "f3"), ["lang", "w3"])
         .join(two("w1", "w2", "f12"), ["lang", "w1", "w2"]).join(two("w2", "w3", "f23"), ["lang", "w2", "w3"])
