@@ -10,9 +10,9 @@ how much of it the other contains. A text whose shingles all lie above the thres
 that only texts without words have empty fingerprints; two such fingerprints are alike (1) when equal, else not (0).
 
 The edited text replaces a text's last ``floor(n_chars / 4)`` code points by the first as many of the next text in
-``doc_id`` order (ties by text, null ids last; after the last comes the first). The order is found without one task
-holding all rows: texts are dealt out in ranges of (doc_id, text), each range is ordered in its own task, and the last
-row of each range takes the first row of the next range that holds rows.
+``doc_id`` order (ties by the text's xxhash64, then by text; null ids last; after the last comes the first). The order
+is found without one task holding all rows: texts are dealt out in ranges of (doc_id, hash), each range is ordered in
+its own task, and the last row of each range takes the first row of the next range that holds rows.
 
 Edge cases: a null text is ''; a null doc_id sorts last; repeated rows are fingerprinted each, the one before the other
 in the order; an empty table gives no rows; extra columns are dropped; very long texts are read whole. Equal texts
@@ -24,13 +24,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scanloom.llm.store import stored
 
 SPACES = r"[\x20\x09-\x0D]+"
 SHINGLE = 5
 #: A hash is kept when its highest SHIFT bits are 0: one in 2^SHIFT of a text's shingles.
 SHIFT = 3
 EDITED_SHARE = 4
+#: Bytes of input per range of the order, at least.
+RANGE_BYTES = 64 << 20
 
 
 def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
@@ -78,18 +79,27 @@ def as_text(sketch_: Column) -> Column:
     return F.array_join(F.transform(sketch_, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), ",")
 
 
+def _ranges(df: DataFrame) -> int:
+    """How many ranges: the session's shuffle partitions, more when the input's estimated size calls for it (a size
+    Spark cannot estimate counts as none)."""
+    estimated = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return least if estimated >= 1 << 62 else max(least, min(-(-estimated // RANGE_BYTES), (1 << 31) - 1))
+
+
 def _with_next(rows: DataFrame) -> DataFrame:
     """Each row with ``next_text`` and ``next_sketch`` of the row after it, in ranges of rows ordered apart."""
-    order = [F.col("doc_id").asc_nulls_last(), F.col("text")]
-    # The number of a range depends on how the shuffle's blocks were merged, which differs between branches of one
-    # plan; written once, every branch sees the same ranges.
-    ranged = stored(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "fingerprint-ranges")
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_last(), F.col("h"), F.col("text")]
+    # Ranges by (doc_id, hash of the text): the sample that places them holds two numbers a row, never texts. Their
+    # number is fixed, so adaptive execution leaves them as they are, and every use numbers them alike.
+    ranged = rows.repartitionByRange(_ranges(rows), order[0], order[1]).withColumn("part", F.spark_partition_id())
     within = Window.partitionBy("part").orderBy(*order)
     ordered = ranged.select(
         "*", F.lead("text").over(within).alias("next_text"), F.lead("sketch").over(within).alias("next_sketch")
     )
     # The first row of each range, by a minimum that each task takes of its own rows before anything is dealt out.
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text", "sketch")).alias("first")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h", "text", "sketch")).alias("first")
     firsts = ranged.groupBy("part").agg(first)
     ranges = Window.orderBy("part")  # one row per range: one task is enough
     following = firsts.select(
@@ -97,7 +107,7 @@ def _with_next(rows: DataFrame) -> DataFrame:
         F.coalesce(F.lead("first").over(ranges), F.first("first").over(ranges.rowsBetween(Window.unboundedPreceding, 0))).alias("following"),
     )
     return ordered.join(following, "part", "left").select(
-        *rows.columns,
+        *[c for c in rows.columns if c != "h"],
         F.coalesce("next_text", "following.text").alias("next_text"),
         F.when(F.col("next_text").isNull(), F.col("following.sketch")).otherwise(F.col("next_sketch")).alias("next_sketch"),
     )

@@ -33,10 +33,11 @@ def plain_like(a, b):
 
 
 def plain(rows):
-    order = sorted(((k is None, k or 0, t or ""), k) for k, t in rows)
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    order = sorted(((k is None, k or 0, signed(spark_hash(t or "")), (t or "").encode(), t or ""), k) for k, t in rows)
     out = []
-    for i, ((_, _, text), k) in enumerate(order):
-        following = order[(i + 1) % len(order)][0][2]
+    for i, ((*_, text), k) in enumerate(order):
+        following = order[(i + 1) % len(order)][0][-1]
         n = len(text)
         edited = text[: n - n // 4] + following[: n // 4]
         a, e, nx = plain_sketch(text), plain_sketch(edited), plain_sketch(following)
