@@ -45,7 +45,9 @@ def _distance(p: Column, q: Column) -> Column:
 
 def _terms(docs: DataFrame) -> DataFrame:
     """lang, source and the terms of each text, A-Z lower-cased."""
-    text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _UPPER, _LOWER)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # Only A-Z are lower-cased: for a text of ASCII alone that is what lower() does, and much faster than translate().
+    text = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
     return docs.select(
         F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
