@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PAYLOAD = ("image_png", "width", "height")
@@ -21,14 +21,24 @@ def last_wins(
 ) -> DataFrame:
     """One row per key: the last by ``order``, with ``times_seen``.
 
-    ``max_by`` combines rows before the shuffle, so a key that fills a third of
-    the input still sends one row per task.
+    Late materialisation: the last ``order`` of each key is found on the narrow columns alone, combined in each task
+    before the shuffle, so a key that fills a third of the input still sends one narrow row per task; only then are
+    the images of the winning rows fetched, by a join on key and order. No aggregation ever holds an image. Null keys
+    and orders match as equals; of rows tied on both, one is kept. Rows whose order is null lose to any other.
     """
-    last = F.max_by(F.struct(*payload), order).alias("_last")
+    rows = df.select(*keys, *payload, F.struct(*keys, order.alias("_order")).alias("_at"))
+    winners = (
+        df.select(*keys, order.alias("_order"))
+        .groupBy(*keys).agg(F.max("_order").alias("_order"), F.count("*").alias("times_seen"))
+        .select(F.struct(*keys, "_order").alias("_at"), "times_seen")
+    )
+    # One struct of key and order: its equality holds for nulls too, and the join leaves the rows dealt out by it.
+    first = Window.partitionBy("_at").orderBy("_at")  # only ties of key and order have more than one row here
     return (
-        df.groupBy(*keys)
-        .agg(last, F.count("*").alias("times_seen"))
-        .select(*keys, *[F.col(f"_last.{name}").alias(name) for name in payload], "times_seen")
+        rows.join(winners, "_at")
+        .withColumn("_n", F.row_number().over(first))
+        .where(F.col("_n") == 1)
+        .select(*keys, *payload, "times_seen")
     )
 
 

@@ -56,10 +56,13 @@ def test_upsert_shuffles_once(spark):
     assert shuffles(keyed.upsert_frames(current, incoming, now, range_tasks=3)) == 1
 
 
-def test_last_wins_combines_before_the_shuffle(spark):
-    text = plan(keyed.last_wins(views.loads(spark, SF_DIR), F.col("o_orderkey")))
-    below = text[text.index("Exchange hashpartitioning") :]
-    assert "partial_max_by" in below
+def test_last_wins_combines_before_the_shuffle_and_fetches_images_late(spark):
+    df = keyed.last_wins(views.loads(spark, SF_DIR), F.col("o_orderkey"))
+    df.collect()  # the adaptive plan is final once run
+    text = plan(df)
+    assert "SortAggregate" not in text and "max_by" not in text  # no aggregation holds an image
+    assert "partial_max(_order" in text[text.index("Exchange hashpartitioning(depth") :]  # narrow, combined per task
+    assert "WindowGroupLimit" in text  # at most one image per key and task is dealt out
 
 
 def test_no_query_plans_a_cross_join(spark):
