@@ -88,18 +88,16 @@ def _ranges(df: DataFrame) -> int:
 
 
 def _with_next(rows: DataFrame) -> DataFrame:
-    """Each row with ``next_text`` and ``next_sketch`` of the row after it, in ranges of rows ordered apart."""
+    """Each row with ``next_text``, the text of the row after it, in ranges of rows ordered apart."""
     rows = rows.withColumn("h", F.xxhash64("text"))
     order = [F.col("doc_id").asc_nulls_last(), F.col("h"), F.col("text")]
     # Ranges by (doc_id, hash of the text): the sample that places them holds two numbers a row, never texts. Their
     # number is fixed, so adaptive execution leaves them as they are, and every use numbers them alike.
     ranged = rows.repartitionByRange(_ranges(rows), order[0], order[1]).withColumn("part", F.spark_partition_id())
     within = Window.partitionBy("part").orderBy(*order)
-    ordered = ranged.select(
-        "*", F.lead("text").over(within).alias("next_text"), F.lead("sketch").over(within).alias("next_sketch")
-    )
+    ordered = ranged.select("*", F.lead("text").over(within).alias("next_text"))
     # The first row of each range, by a minimum that each task takes of its own rows before anything is dealt out.
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h", "text", "sketch")).alias("first")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h", "text")).alias("first")
     firsts = ranged.groupBy("part").agg(first)
     ranges = Window.orderBy("part")  # one row per range: one task is enough
     following = firsts.select(
@@ -109,15 +107,15 @@ def _with_next(rows: DataFrame) -> DataFrame:
     return ordered.join(following, "part", "left").select(
         *[c for c in rows.columns if c != "h"],
         F.coalesce("next_text", "following.text").alias("next_text"),
-        F.when(F.col("next_text").isNull(), F.col("following.sketch")).otherwise(F.col("next_sketch")).alias("next_sketch"),
     )
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next`` and containments."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = with_sketch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")), "text", "sketch")
-    paired = _with_next(rows)
+    # Sketches are made after the rows are ordered, of each text and of the next: the shuffles carry texts alone.
+    paired = _with_next(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")))
+    paired = with_sketch(with_sketch(paired, "text", "sketch"), "next_text", "next_sketch")
     n = F.char_length("text")
     cut = F.floor(n / EDITED_SHARE).cast("int")
     edited = F.concat(F.substring("text", 1, n - cut), F.substring("next_text", 1, cut))
