@@ -3,13 +3,20 @@
 Method: the stripes pattern. Every prefix of one or two words keys a stripe, an associative counter of the words that
 follow it inside a piece; the end of a piece is a null word. The stripes nest: the cell ``w1 -> w2`` of a one-word
 stripe is the total of the two-word stripe ``w1 w2``, so a row ``(w1, w2, w3)`` per word position is a cell of both.
-Cells are dealt out by their stripe, ``(lang, w1)``, with a hash of ``w2`` added so that a hot prefix, whose stripe
-may be as long as the vocabulary, is spread over ``SALTS`` tasks; there the stripes are merged elementwise (cells of
-equal ``(w2, w3)`` are added) and stay: everything comes from the merged stripes without dealing them out again.
+Every task adds up the stripes of its own texts, and the shuffle deals them out by their words, so that they are merged
+elementwise (cells of equal words are added) and a hot prefix, whose stripe may be as long as the vocabulary, is spread
+over all tasks.
+
+Most cells occur once and never matter. Before stripes are made, one pass counts the pairs of neighbours by their 64-bit
+hashes; a pair whose hash occurs fewer than 10 times does so itself and is neither a candidate nor a part of one. The
+others' hashes mark a bitmap (see ``marks.py``) that every task is given: a position whose pair has no mark is left
+out, and a next word whose pair has none counts as the end of the piece. Equal hashes and common bits let more pairs
+through, never fewer, and everything below tests the counts themselves, so the result does not depend on either.
 
 * extensions: a cell holds f(prefix + next), so cells of 10 or more are the candidates;
-* prefix totals: a stripe's sum is f(prefix), the counts of the cuts, and the sum of one-word stripes is n; as no part
-  of a candidate is rarer than the candidate, only prefixes of 10 or more are looked up;
+* prefix totals: the sum of a marked pair's stripe is f(pair), with all of its positions, the counts of the cuts; single
+  words are counted over all positions, and their sum is n; as no part of a candidate is rarer than the candidate, only
+  prefixes of 10 or more are looked up;
 * subsumption maxima: the largest cell of a two-word stripe is the most frequent candidate that extends the prefix to
   the right; the largest three-word cell ending in a pair, the one that extends it to the left.
 
@@ -27,6 +34,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scanloom.llm.marks import marked, marks_of
+from scanloom.llm.store import stored
 
 # Fixed values of the contract.
 PIECE_BREAKS = r"[.,;:!?\x0A-\x0D]"
@@ -38,45 +47,56 @@ SCALE = 1_000_000
 SUBSUMED_PERCENT = 50
 #: Shards per language for the first ranking step.
 SHARDS = 64
-#: Parts of a stripe, dealt out by a hash of the next word, so that a hot prefix spreads over as many tasks.
-SALTS = 32
+#: Stands between the pieces in a list of words; no word is one, as pieces are cut there.
+CUT = "."
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def stripe_cells(docs: DataFrame) -> DataFrame:
-    """Merged stripes: ``lang, w1, salt, w2, w3, c`` and the words again as ``k1, k2, k3``.
-
-    The stripe of ``w1`` counts each next word ``w2``, and the stripe of ``w1 w2`` each next word ``w3``; a null
-    ``w2`` or ``w3`` is the end of a piece. Nested like this, one row per word position holds both cells, and a
-    stripe's total is the sum of its cells. The copies ``k1, k2, k3`` are made by the merge: a condition on them, as
-    a join on words implies, stays above the merge, so that every later step reads the one shuffle of the stripes.
-    """
+def _tokens(docs: DataFrame) -> DataFrame:
+    """lang and the words of each text, A-Z lower-cased, with ``CUT`` wherever a piece ends."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # Only A-Z are lower-cased: for a text of ASCII alone that is what lower() does, and much faster than translate().
     text = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
-    pieces = docs.select(
+    cut = F.regexp_replace(text, PIECE_BREAKS, f" {CUT} ")
+    return docs.select(
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
-        F.split(text, PIECE_BREAKS).alias("pieces"),
+        F.array_remove(F.split(cut, WORD_BREAKS), "").alias("ws"),
     )
-    words = F.transform("pieces", lambda piece: F.filter(F.split(piece, WORD_BREAKS), lambda w: w != ""))
-    of_piece = (
-        "IF(size(ws) = 0, array(), transform(sequence(0, size(ws) - 1), "
-        "i -> named_struct('w1', ws[i], 'w2', get(ws, i + 1), 'w3', get(ws, i + 2))))"
-    )
-    positions = pieces.select("lang", words.alias("pieces")).select(
-        "lang", F.inline(F.flatten(F.expr(f"transform(pieces, ws -> {of_piece})")))
-    )
-    # Cells go to the task of their stripe, a hot prefix split by a hash of the next word; merged there, they stay
-    # there for the totals and the largest cells of the two-word stripes.
-    salt = F.pmod(F.xxhash64(F.coalesce("w2", F.lit(""))), F.lit(SALTS)).alias("salt")
-    return (
-        positions.select("*", salt).repartition("lang", "w1", "salt")
-        .groupBy("lang", "w1", "salt", "w2", "w3")
-        .agg(F.count(F.lit(1)).alias("c"), *[F.max(w).alias(f"k{w[1]}") for w in ("w1", "w2", "w3")])
+
+
+def _positions(docs: DataFrame) -> DataFrame:
+    """``lang, w1, w2, w3`` per word: it and the next two of its piece, null beyond the end."""
+    shifted = [F.slice("ws", k, F.size("ws")) for k in (2, 3)]
+    rows = _tokens(docs).select("lang", F.inline(F.arrays_zip("ws", *shifted))).toDF("lang", "w1", "w2", "w3")
+    second = F.nullif("w2", F.lit(CUT))
+    return rows.where(F.col("w1") != CUT).select(
+        "lang", "w1", second.alias("w2"), F.when(second.isNotNull(), F.nullif("w3", F.lit(CUT))).alias("w3")
     )
 
 
+def likely_pairs(docs: DataFrame) -> DataFrame:
+    """Marks of all pairs of neighbours that may occur ``LEAST`` times."""
+    pairs = _positions(docs).where(F.col("w2").isNotNull()).select(F.xxhash64("lang", "w1", "w2").alias("pair"))
+    return marks_of(pairs.groupBy("pair").count().where(F.col("count") >= LEAST).select("pair"))
+
+
+def stripe_cells(docs: DataFrame, likely: DataFrame | None = None) -> DataFrame:
+    """Merged stripes: ``lang, w1, w2, w3, c``.
+
+    The stripe of ``w1`` counts each next word ``w2``, and the stripe of ``w1 w2`` each next word ``w3``; a null
+    ``w2`` or ``w3`` is the end of a piece. Nested like this, one row per word position holds both cells, and a
+    stripe's total is the sum of its cells. With marks of ``likely`` pairs only their stripes are made, and a next word
+    ``w3`` that makes no likely pair with ``w2`` counts as the end of the piece.
+    """
+    positions = _positions(docs)
+    if likely is not None:
+        first = marked(positions.where(F.col("w2").isNotNull()), likely, "first", "lang", "w1", "w2").where("first")
+        both = marked(first, likely, "second", "lang", "w2", "w3")
+        positions = both.select("lang", "w1", "w2", F.when(F.col("second"), F.col("w3")).alias("w3"))
+    return positions.groupBy("lang", "w1", "w2", "w3").agg(F.count(F.lit(1)).alias("c"))
+
+
 def _score(a: Column, left: Column, right: Column) -> Column:
     wide = "DECIMAL(38,0)"
     return F.call_function("div", a.cast(wide) * a.cast(wide) * F.lit(SCALE).cast(wide), left.cast(wide) * right.cast(wide)).cast("long")
@@ -91,23 +111,16 @@ def _lowest_cut(*cuts: tuple[Column, Column]) -> list[Column]:
 
 def collocations(docs: DataFrame) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score`` of the contract; see the module's docstring."""
-    stripes = stripe_cells(docs)
-    # Later steps read the words as ``k1, k2, k3`` and put conditions on counts: see ``stripe_cells``.
-    pairs = (
-        stripes.groupBy("lang", "w1", "salt", "w2")
-        .agg(
-            F.sum("c").alias("f"), F.max(F.when(F.col("k3").isNotNull(), F.col("c"))).alias("right_max"),
-            F.max("k1").alias("p1"), F.max("k2").alias("p2"),
-        )
-        .where(F.col("p2").isNotNull())
-        .select("lang", F.col("p1").alias("w1"), F.col("p2").alias("w2"), "f", "right_max")
-    )  # the stripe totals of two-word prefixes, and their largest cells, each in the task that holds the stripe
-    three_words = stripes.where(F.col("k3").isNotNull() & (F.col("c") >= LEAST)).select(
-        "lang", F.col("k1").alias("w1"), F.col("k2").alias("w2"), F.col("k3").alias("w3"), "c"
-    )
-    singles = stripes.groupBy("lang", "w1").agg(F.sum("c").alias("f"), F.max("k1").alias("word")).select(
-        "lang", F.col("word").alias("w1"), "f"
-    )  # the stripe totals of one-word prefixes
+    stripes = stored(stripe_cells(docs, stored(likely_pairs(docs), "phrases-marks")), "phrases-stripes")
+    singles = stored(
+        _tokens(docs).select("lang", F.explode("ws").alias("w1")).where(F.col("w1") != CUT)
+        .groupBy("lang", "w1").agg(F.count(F.lit(1)).alias("f")),
+        "phrases-words",
+    )
+    pairs = stripes.groupBy("lang", "w1", "w2").agg(
+        F.sum("c").alias("f"), F.max(F.when(F.col("w3").isNotNull(), F.col("c"))).alias("right_max")
+    )  # the stripe totals of two-word prefixes, and their largest cells
+    three_words = stripes.where(F.col("w3").isNotNull() & (F.col("c") >= LEAST))
     n = singles.groupBy("lang").agg(F.sum("f").alias("n"))
     frequent = singles.where(F.col("f") >= LEAST)  # every part of a candidate is at least as frequent as it
     one = lambda w, f: frequent.select("lang", F.col("w1").alias(w), F.col("f").alias(f))

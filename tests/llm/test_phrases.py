@@ -5,7 +5,7 @@ from collections import Counter
 
 from text_cases import ODD, docs_of
 
-from scanloom.llm.phrases import collocations, stripe_cells
+from scanloom.llm.phrases import collocations, likely_pairs, stripe_cells
 
 
 def plain(rows, most=2000):
@@ -46,3 +46,23 @@ def test_stripes_add_up_and_empty_input(spark):
     cells = {(r.w1, r.w2, r.w3): r.c for r in stripe_cells(docs).collect()}
     assert cells == {("a", "b", "a"): 2, ("b", "a", "b"): 2, ("a", "b", None): 2, ("b", None, None): 2, ("a", None, None): 2}
     assert collocations(docs.where("false")).count() == 0
+
+
+def test_only_stripes_that_can_hold_a_candidate_are_made(spark):
+    rows = [(k, f"big red dog. {' '.join(f'u{k}x{j}' for j in range(200))} big red", "en", "s") for k in range(20)]
+    rows += [(k, "big red dog", None, "s") for k in range(9)] + [(None, None, "en", None), (1, "...", "en", "s")]
+    docs = docs_of(spark, rows)
+    cells = {(r.lang, r.w1, r.w2, r.w3): r.c for r in stripe_cells(docs, likely_pairs(docs)).collect()}
+    assert cells == {("en", "big", "red", "dog"): 20, ("en", "big", "red", None): 20, ("en", "red", "dog", None): 20}
+    assert stripe_cells(docs).count() > 4000
+    got = {(r.lang, r.phrase): (r.rank, r.a, r.l, r.r, r.n, r.score) for r in collocations(docs).collect()}
+    assert got == plain(rows)
+
+
+def test_pairs_beyond_the_marks_of_others_change_nothing(spark, monkeypatch):
+    from scanloom.llm import marks
+
+    monkeypatch.setattr(marks, "BITS", marks.ROW_BITS + 6)  # one row of marks, full of common bits
+    rows = [(k, " ".join(f"w{(k * j * j + j) % 41}" for j in range(300)) + " Q? r", ["en", "de"][k % 2], "s") for k in range(30)]
+    got = {(r.lang, r.phrase): (r.rank, r.a, r.l, r.r, r.n, r.score) for r in collocations(docs_of(spark, rows)).collect()}
+    assert got == plain(rows)
