@@ -5,7 +5,7 @@ from collections import Counter
 
 from text_cases import ODD, docs_of
 
-from scanloom.llm.divergence import audit
+from scanloom.llm.divergence import BREAK, _terms, audit
 
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -55,3 +55,12 @@ def test_repeated_rows_count_twice_and_empty_input(spark):
         (k[1], k[2], k[3]): v[0] for k, v in plain(rows).items()
     }
     assert audit(docs_of(spark, rows).where("false")).count() == 0
+
+
+def test_breaks_are_listed_and_leave_the_terms(spark):
+    assert "-" not in BREAK  # ranges are tried one after the other, listed characters looked up
+    assert all(bool(re.fullmatch(BREAK, chr(c))) != bool(TERM.fullmatch(chr(c))) for c in range(0x300))
+    texts = ["", " ", "1a2", "ab-cd_EF", "été, \U0001f600x\x7f\x80y", *map(chr, range(0x100))]
+    got = _terms(docs_of(spark, [(k, t) for k, t in enumerate(texts)])).collect()
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    assert [[t for t in r.terms if t] for r in got] == [TERM.findall(t.translate(lower)) for t in texts]
