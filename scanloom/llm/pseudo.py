@@ -43,6 +43,8 @@ GROUP, PART = 256, 1024
 #: Each round learns from every ROUNDS-th word, so all together from every word.
 ROUNDS = 2
 STEP_WORDS = 1024
+#: Of runs of equal keys so many rows are added up at once for all runs.
+SHORT = 8
 CHUNK = 2048
 RATE = 0.004
 WORD_RATE = 0.1
@@ -65,13 +67,13 @@ def shaped(values: np.ndarray) -> Params:
     params, at = {}, 0
     for k, s in _SHAPES.items():
         size = int(np.prod(s))
-        params[k] = values[at : at + size].reshape(s).astype(np.float32)
+        params[k] = values[at : at + size].reshape(s).astype(np.float32, copy=False)
         at += size
     return params
 
 
 def _buckets(words: Words) -> np.ndarray:
-    return (words.hashes() % np.uint64(BUCKETS)).astype(np.int64)
+    return (words.hashes() & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
 def _slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -82,14 +84,13 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
 
 def contexts(buckets: np.ndarray, bounds: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Buckets around the words ``at``; beyond a text's ends stands an extra one."""
-    text = np.searchsorted(bounds, at, "right") - 1
-    low, high = bounds[text], bounds[text + 1]
-    found = []
-    for place in PLACES:
-        there = at + place
-        inside = (there >= low) & (there < high)
-        found.append(np.where(inside, buckets[np.clip(there, 0, len(buckets) - 1)], BUCKETS))
-    return np.array(found)
+    reach = max(map(abs, PLACES))
+    # Texts are laid out with as many extra ones between them as the places reach.
+    there = np.arange(len(buckets)) + np.repeat(reach * np.arange(1, len(bounds)), np.diff(bounds))
+    spread = np.full(len(buckets) + reach * len(bounds), BUCKETS, np.int32)
+    spread[there] = buckets
+    there = there.take(at)
+    return np.array([spread.take(there + place) for place in PLACES])
 
 
 def _hidden(params: Params, context: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
@@ -103,10 +104,20 @@ def _hidden(params: Params, context: np.ndarray, own: np.ndarray | None = None)
     return np.tanh(total, out=total)
 
 
+def _with_one(hidden: np.ndarray) -> np.ndarray:
+    """The hidden units and a last one that is always 1, whose weight is a shift."""
+    given = np.ones((len(hidden), hidden.shape[1] + 1), hidden.dtype)
+    given[:, :-1] = hidden
+    return given
+
+
 def _logits(params: Params, hidden: np.ndarray) -> np.ndarray:
-    logits = hidden @ params["out"]
-    logits += params["shift"]
-    return np.minimum(logits, 60, out=logits)
+    """Of units that are at most 1 in size, also given with the one that is always 1."""
+    weights = np.concatenate([params["out"], params["shift"][None]])
+    logits = (hidden if hidden.shape[1] > HIDDEN else _with_one(hidden)) @ weights
+    if np.abs(weights).max() * len(weights) > 60:  # else none can be above
+        np.minimum(logits, 60, out=logits)
+    return logits
 
 
 def gradients(
@@ -121,21 +132,25 @@ def gradients(
     ``within`` gives the gradient of what else is predicted from the last hidden units. "own" is that of ``own``.
     """
     hidden = _hidden(params, context, own)
-    share = _logits(params, hidden)
+    given = _with_one(hidden)
+    share = _logits(params, given)
     np.exp(share, out=share)
-    share /= share.sum(axis=1, keepdims=True)
-    share[np.arange(len(target)), target] -= 1
-    share /= len(target)
+    # Rows are divided by their sums after the products, which are far smaller.
+    total = _row_sums(share)
+    share[np.arange(len(target)), target] -= total
+    scale = (1 / (total * len(target)))[:, None]
     inner = share @ params["out"].T
+    inner *= scale
     if within is not None:
         inner[:, -WIDTH:] += within(hidden[:, -WIDTH:]) / len(target)
     inner *= 1 - hidden * hidden
+    given *= scale
+    out = given.T @ share
     enter = np.zeros_like(params["enter"])
-    for k, classes in enumerate(context):
-        order, first, found = _runs(classes.astype(np.int16))
-        enter[k][found] = np.add.reduceat(inner.take(order, axis=0), first, axis=0)
-    sums = {"enter": enter, "bias": inner.sum(axis=0), "out": hidden.T @ share, "shift": share.sum(axis=0)}
-    return sums | {"own": inner[:, -WIDTH:]}
+    keys = context + enter.shape[1] * np.arange(len(context), dtype=np.int16)[:, None]
+    order, first, found = _runs(keys.astype(np.int16).reshape(-1))
+    enter.reshape(-1, HIDDEN)[found] = _run_sums(inner, np.concatenate([np.arange(len(target))] * len(context)).take(order), first)
+    return {"enter": enter, "bias": inner.sum(axis=0), "out": out[:-1], "shift": out[-1], "own": inner[:, -WIDTH:]}
 
 
 def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,6 +166,50 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, first, found[first]
 
 
+def _run_sums(values: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the rows of ``values`` that stand in ``order`` from each of ``first`` up to the next; as wide as an even number."""
+    pairs = np.complex64 if values.dtype == np.float32 else np.complex128  # two columns are added up at a time
+    return np.add.reduceat(values.view(pairs).take(order, axis=0), first, axis=0).view(values.dtype)
+
+
+def _short_run_sums(values: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The same where most runs are short: up to ``SHORT`` rows are added up for all runs at once, row after row."""
+    count = np.diff(np.append(first, len(order)))
+    sums = values.take(order.take(first), axis=0)
+    more = np.flatnonzero(count > 1)
+    more = more.take(np.argsort(-count.take(more), kind="stable"))
+    count, begin, part = count.take(more), first.take(more), sums.take(more, axis=0)
+    longer = np.searchsorted(-count, -np.arange(1, SHORT + 1)).tolist()
+    for k, n in enumerate(longer[:-1], 1):
+        if n:
+            part[:n] += values.take(order.take(begin[:n] + k), axis=0)
+    if n := longer[-1]:
+        left = count[:n] - SHORT
+        at = np.cumsum(left) - left
+        part[:n] += _run_sums(values, order.take(np.repeat(begin[:n] + SHORT - at, left) + np.arange(left.sum())), at)
+    sums[more] = part
+    return sums
+
+
+def _row_sums(values: np.ndarray) -> np.ndarray:
+    return values @ np.ones(values.shape[1], values.dtype)
+
+
+def _spread(values: np.ndarray, width: int) -> np.ndarray:
+    """Each value ``width`` times in a row: short rows are slow to multiply by one value each."""
+    return np.repeat(values, width).reshape(len(values), width)
+
+
+@dataclass
+class Levels:
+    """Ways level by level: in ``order`` the longest way stands first, and the first ``reached[k]`` have a ``k``-th step."""
+
+    order: np.ndarray
+    reached: list[int]
+    node: np.ndarray
+    side: np.ndarray
+
+
 @dataclass
 class Trees:
     """Of each bucket the way from its leaf to its class's root: ``steps[starts[b]:starts[b + 1]]``.
@@ -172,6 +231,16 @@ class Trees:
         steps = self.steps.take(np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + count, count))
         return steps >> 1, (1 - 2 * (steps & 1)).astype(np.float32), count
 
+    def levels(self, buckets: np.ndarray) -> Levels:
+        """The same ways in an order that lets whole levels be worked on without picking rows."""
+        first = self.starts.take(buckets)
+        count = self.starts.take(buckets + 1) - first
+        order = np.argsort((-count).astype(np.int16), kind="stable")
+        first, count = first.take(order), count.take(order)
+        reached = (len(count) - np.searchsorted(count[::-1], np.arange(count[0]), "right")).tolist() if len(count) else []
+        steps = self.steps.take(np.concatenate([np.zeros(0, np.int32), *(first[:n] + k for k, n in enumerate(reached))]))
+        return Levels(order, reached, steps >> 1, (1 - 2 * (steps & 1)).astype(np.float32))
+
 
 def trees_of(counts: np.ndarray, classes: np.ndarray, ranks: np.ndarray) -> Trees:
     """Huffman trees of the counted buckets of each class; counts and classes by rank."""
@@ -206,22 +275,37 @@ def trees_of(counts: np.ndarray, classes: np.ndarray, ranks: np.ndarray) -> Tree
 
 
 def _odds(rows: np.ndarray, trees: Trees, hidden: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of each step on the buckets' ways: the log-odds of the side taken, the node, its row, side and input; way lengths."""
+    """Of each step on the buckets' ways, one way after the other, the log-odds of the side taken; way lengths."""
     node, side, count = trees.ways(buckets)
-    given = np.ones((len(hidden), WIDTH + 1), np.float32)
-    given[:, :WIDTH] = hidden
-    given, own = given.take(np.repeat(np.arange(len(hidden)), count), axis=0), rows.take(NODES + node, axis=0)[:, : WIDTH + 1]
-    return side * (np.einsum("ij,ij->i", given, own) + trees.base.take(node)), node, own, side, given, count
+    given = _with_one(hidden).take(np.repeat(np.arange(len(hidden)), count), axis=0)
+    given *= rows.take(NODES + node, axis=0)
+    return side * (_row_sums(given) + trees.base.take(node)), count
 
 
-def within_gradients(rows: np.ndarray, trees: Trees, hidden: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Gradients of the summed negative log-probability within classes: of ``hidden``, and of the nodes on the ways."""
-    odds, node, own, side, given, count = _odds(rows, trees, hidden, buckets)
-    slope = (-side / (1 + np.exp(np.minimum(odds, 60))))[:, None]
-    back, some = np.zeros_like(hidden), count > 0
-    if len(node):
-        back[some] = np.add.reduceat(slope * own[:, :WIDTH], (np.cumsum(count) - count)[some], axis=0)
-    return back, node, slope * given
+def within_gradients(
+    rows: np.ndarray, trees: Trees, hidden: np.ndarray, buckets: np.ndarray, gathered: tuple[Levels, np.ndarray] | None = None
+) -> tuple[np.ndarray, ...]:
+    """Gradients of the summed negative log-probability within classes: of ``hidden``, and of the nodes on the ways.
+
+    ``gathered`` are the buckets' ways, if known, and the places of their nodes in ``rows``. Of wider rows only the vector
+    and the shift are read, and the nodes' gradients are as wide, with zeros.
+    """
+    levels, places = gathered or (trees.levels(buckets), None)
+    own = rows.take(NODES + levels.node if places is None else places, axis=0)
+    given = np.zeros((len(hidden), rows.shape[1]), hidden.dtype)
+    given[:, :WIDTH], given[:, WIDTH] = hidden.take(levels.order, axis=0), 1
+    given = np.concatenate([given[:0], *(given[:n] for n in levels.reached)])
+    odds = levels.side * (_row_sums(given * own) + trees.base.take(levels.node))
+    slope = _spread(-levels.side / (1 + np.exp(np.minimum(odds, 60))), rows.shape[1])
+    own *= slope
+    given *= slope
+    sums, at = np.zeros((len(hidden), rows.shape[1]), hidden.dtype), 0
+    for n in levels.reached:
+        sums[:n] += own[at : at + n]
+        at += n
+    back = np.empty_like(hidden)
+    back[levels.order] = sums[:, :WIDTH]
+    return back, levels.node, given
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,38 +351,59 @@ def _sums(rows: np.ndarray, around: np.ndarray) -> np.ndarray:
 class _Words:
     """The vectors of a task, learned at a rate that falls with a row's past gradients.
 
-    A row of ``state`` also holds these gradients' squares and how often the row was seen.
+    A row of ``state`` also holds these gradients' squares.
     """
 
     def __init__(self, rows: np.ndarray, trees: Trees):
         self.given, self.trees = rows, trees
-        self.state = np.zeros((ROWS, WIDTH + 3), np.float32)
-        self.state[:, :-2] = rows
-
-    def step(self, around: np.ndarray, own: np.ndarray, node: np.ndarray, nodes: np.ndarray) -> None:
-        """Gradients of the words around, equal for all places, and of the nodes on the ways."""
-        self._change(around.reshape(-1), own, WIDTH)
-        if len(node):
-            self._change(NODES + node, nodes, WIDTH + 1)
-
-    def _change(self, keys: np.ndarray, grads: np.ndarray, width: int) -> None:
-        order, first, found = _runs(keys)
-        sums = np.add.reduceat(grads.take(order if len(grads) == len(keys) else order % len(grads), axis=0), first, axis=0)
-        state = self.state.take(found, axis=0)
-        state[:, -1] += np.diff(np.append(first, len(keys)))
-        state[:, -2] += np.einsum("ij,ij->i", sums, sums) / WIDTH
-        state[:, :width] -= sums * (WORD_RATE / np.sqrt(1 + state[:, -2:-1]))
-        self.state[found] = state
+        self.state = np.zeros((ROWS, WIDTH + 2), np.float32)
+        self.state[:, :-1] = rows
+        self.whole = self.state.view(f"V{self.state.strides[0]}").reshape(-1)  # faster to set than rows of numbers
+        self.around, self.targets = np.zeros(NODES, np.int64), np.zeros(BUCKETS, np.int64)
+
+    def see(self, around: np.ndarray, targets: np.ndarray) -> None:
+        """Counts the words of steps."""
+        self.around += np.bincount(around.reshape(-1), minlength=NODES)
+        self.targets += np.bincount(targets, minlength=BUCKETS)
+
+    def gather(self, around: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[Levels, np.ndarray]]:
+        """The rows that a step needs, the places of the words around in them, and the ways to the targets with their places."""
+        levels = self.trees.levels(targets)
+        self.order, self.first, self.found = _runs(np.concatenate([around.reshape(-1), NODES + levels.node]))
+        places = np.empty(len(self.order), np.int64)
+        places[self.order] = np.repeat(np.arange(len(self.first)), np.diff(np.append(self.first, len(self.order))))
+        self.rows = self.state.take(self.found, axis=0)
+        return self.rows, places[: around.size].reshape(around.shape), (levels, places[around.size :])
+
+    def step(self, own: np.ndarray, nodes: np.ndarray) -> None:
+        """Gradients of the gathered words around, equal for all places, and of the nodes on the ways."""
+        grads = np.zeros((len(own) + len(nodes), WIDTH + 2), np.float32)
+        grads[: len(own), :WIDTH] = own
+        grads[len(own) :] = nodes
+        rows = np.concatenate([np.arange(len(own))] * len(PLACES) + [np.arange(len(own), len(grads))])
+        sums = _short_run_sums(grads, rows.take(self.order), self.first)
+        squares = _row_sums(sums * sums) / WIDTH
+        sums *= _spread(-WORD_RATE / np.sqrt(1 + self.rows[:, -1] + squares), WIDTH + 2)
+        sums[:, -1] = squares
+        sums += self.rows
+        self.whole[self.found] = sums.view(self.whole.dtype).reshape(-1)
+
+    def seen(self) -> np.ndarray:
+        """How often each row was seen."""
+        words = np.flatnonzero(self.targets)
+        node, _, count = self.trees.ways(words)
+        nodes = np.bincount(node, np.repeat(self.targets[words], count), ROWS - NODES)
+        return np.concatenate([self.around, nodes.astype(np.int64)])
 
     def changes(self) -> Iterator[tuple[int, bytes]]:
         """By group: places, how often seen, and changes in half precision, whose weighted sums are exact."""
+        seen = self.seen()
         for group in range(ROWS // GROUP):
             part = slice(group * GROUP, (group + 1) * GROUP)
-            at = np.flatnonzero(self.state[part, -1])
+            at = np.flatnonzero(seen[part])
             if len(at):
-                state = self.state[part][at]
-                change = (state[:, :-2] - self.given[part][at]).astype(np.float16)
-                yield group, at.astype(np.uint8).tobytes() + state[:, -1].astype(np.int32).tobytes() + change.tobytes()
+                change = (self.state[part][at, :-1] - self.given[part][at]).astype(np.float16)
+                yield group, at.astype(np.uint8).tobytes() + seen[part][at].astype(np.int32).tobytes() + change.tobytes()
 
 
 def _param_parts(params: Params, seen: int) -> Iterator[tuple[int, bytes]]:
@@ -334,33 +439,35 @@ def _learn_batches(
     """Without ``rows`` and ``trees``: new ones, and nothing is learned within classes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        params, seen, step = shaped(values), 0, 0
+        learned, seen, step = values.astype(np.float32), 0, 0
+        params = shaped(learned)  # parts of what is learned, not copies
         words = _Words(new_rows() if rows is None else rows, trees or trees_of(np.zeros(BUCKETS, np.int64), classes, np.arange(BUCKETS)))
-        moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in params.items()}
+        m, v = np.zeros_like(learned), np.zeros_like(learned)
         for batch in batches:
             for _, _, buckets, bounds in _slices(batch.column(0)):
                 buckets = words.trees.ranks.take(buckets)
                 # Other words in each round, in shuffled order.
                 at = np.arange(turn, len(buckets), ROUNDS)
                 at = np.random.default_rng(len(buckets) + turn).permutation(at)
+                all_around, targets = contexts(buckets, bounds, at), buckets.take(at)
+                words.see(all_around, targets)
+                context, target = classes.take(all_around), classes.take(targets).astype(np.int64)
                 for i in range(0, len(at), STEP_WORDS):
-                    part = at[i : i + STEP_WORDS]
-                    around, hidden_words, found = contexts(buckets, bounds, part), buckets[part], []
+                    part, found = slice(i, i + STEP_WORDS), []
+                    own_rows, places, ways = words.gather(all_around[:, part], targets[part])
 
                     def within(hidden: np.ndarray) -> np.ndarray:
-                        back, *nodes = within_gradients(words.state, words.trees, hidden, hidden_words)
-                        found.extend(nodes)
+                        back, _, nodes = within_gradients(own_rows, words.trees, hidden, targets[part], ways)
+                        found.append(nodes)
                         return back
 
-                    own = _sums(words.state, around)
-                    grads = gradients(params, classes.take(around), classes.take(hidden_words).astype(np.int64), own, within)
-                    words.step(around, grads.pop("own") * len(part), *found)
+                    grads = gradients(params, context[:, part], target[part], _sums(own_rows, places), within)
+                    words.step(grads.pop("own") * len(places[0]), *found)
                     step += 1
-                    for k, g in grads.items():
-                        m, v = moments[k]
-                        m += 0.1 * (g - m)
-                        v += 0.01 * (g * g - v)
-                        params[k] -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
+                    g = flat(grads)
+                    m += 0.1 * (g - m)
+                    v += 0.01 * (g * g - v)
+                    learned -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
                 seen += len(at)
         if seen:
             keys, parts = zip(*_param_parts(params, seen), *words.changes())
@@ -390,16 +497,17 @@ def _score_batches(
         for batch in batches:
             for first, last, buckets, bounds in _slices(batch.column(1)):
                 buckets, scores = trees.ranks.take(buckets), np.zeros(len(buckets) + 1)
+                all_around = contexts(buckets, bounds, np.arange(len(buckets)))
                 for i in range(0, len(buckets), CHUNK):
-                    at = np.arange(i, min(i + CHUNK, len(buckets)))
-                    around, target = contexts(buckets, bounds, at), classes[buckets[at]]
+                    around, targets = all_around[:, i : i + CHUNK], buckets[i : i + CHUNK]
                     hidden = _hidden(params, classes.take(around), _sums(rows, around))
                     logits = _logits(params, hidden)
-                    scores[at + 1] = logits[np.arange(len(at)), target] - np.log(np.exp(logits, out=logits).sum(axis=1))
-                    odds, *_, count = _odds(rows, trees, hidden[:, -WIDTH:], buckets[at])
+                    score = logits[np.arange(len(targets)), classes.take(targets)]
+                    score -= np.log(_row_sums(np.exp(logits, out=logits)))
+                    odds, count = _odds(rows, trees, hidden[:, -WIDTH:], targets)
                     turns = np.concatenate([[0], np.cumsum(-np.log1p(np.exp(np.minimum(-odds, 60))), dtype=np.float64)])
                     ends = np.cumsum(count)
-                    scores[at + 1] += turns[ends] - turns[ends - count]
+                    scores[i + 1 : i + 1 + CHUNK] = score + (turns[ends] - turns[ends - count])
                 sums = np.cumsum(scores)
                 count, total = np.diff(bounds), sums[bounds[1:]] - sums[bounds[:-1]]
                 mean = pa.array(np.round(total / np.maximum(count, 1), 4), mask=count == 0)

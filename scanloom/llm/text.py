@@ -82,11 +82,16 @@ def text_slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int,
         first = last
 
 
+def _looked_up(table: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """``table[data]``, of which NumPy would make 8-byte places first."""
+    return np.frombuffer(data.tobytes().translate(table.tobytes()), table.dtype)
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False, breaks: np.ndarray = _IS_SPACE) -> Words:
     """Words of the texts that ``offsets`` cut out of ``data``; words never span two texts, nor hold ``breaks``."""
     if lower:
-        data = _LOWER[data]
-    space = breaks[data]
+        data = _looked_up(_LOWER, data)
+    space = _looked_up(breaks, data)
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True
     before, after = cut[:-1].copy(), cut[1:].copy()

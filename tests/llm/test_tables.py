@@ -193,6 +193,55 @@ def test_rare_words_are_told_apart(spark):
     assert len(swaps) > 100 and np.mean(better) > 0.9
 
 
+def test_runs_are_summed_whole():
+    """Runs shorter and longer than those added up at once, against sums one by one."""
+    rng = np.random.default_rng(4)
+    keys = np.concatenate([np.full(300, 7), np.repeat(np.arange(20, 40), np.arange(1, 21)), rng.integers(100, 900, 500)])
+    keys, values = rng.permutation(keys), rng.standard_normal((len(keys), 10)).astype(np.float32)
+    plain = np.zeros((900, 10))
+    np.add.at(plain, keys, values)
+    order, first, found = pseudo._runs(keys)
+    assert found.tolist() == np.unique(keys).tolist()
+    for sums in (pseudo._short_run_sums, pseudo._run_sums):
+        assert sums(values, order, first) == pytest.approx(plain[found], abs=1e-4)
+
+
+def test_a_step_takes_each_row_once():
+    """Of words and nodes that a step needs many times one row is taken, changed by the sum of all gradients and put back."""
+    rng = np.random.default_rng(5)
+    counts = np.zeros(pseudo.BUCKETS, np.int64)
+    counts[:3000] = rng.integers(1, 50, 3000)
+    classes, trees = pseudo.classes_of(counts)
+    given = (rng.standard_normal((pseudo.ROWS, pseudo.WIDTH + 1)) / 4).astype(np.float32)
+    given[: pseudo.NODES, -1] = 0
+    words = pseudo._Words(given, trees)
+    around, targets = trees.ranks[rng.integers(0, 3000, (4, 200))], trees.ranks[rng.integers(0, 3000, 200) // 7]
+    node, side, count = trees.ways(targets)
+    rows, places, ways = words.gather(around, targets)
+    keys = np.concatenate([around.reshape(-1), pseudo.NODES + node])
+    assert len(rows) == len(np.unique(keys)) < len(keys)
+    assert (rows[places][..., :-1] == given[around]).all()
+
+    hidden, own = np.tanh(rng.standard_normal((2, 200, pseudo.WIDTH))).astype(np.float32)
+    back, _, nodes = pseudo.within_gradients(rows, trees, hidden, targets, ways)
+    words.step(own, nodes)
+    word = np.repeat(np.arange(200), count)
+    inputs = np.concatenate([hidden, np.ones((200, 1))], axis=1)[word]
+    vectors = given[pseudo.NODES + node].astype(float)
+    slope = (-side / (1 + np.exp(side * ((inputs * vectors).sum(axis=1) + trees.base[node]))))[:, None]
+    expected = np.zeros((200, pseudo.WIDTH))
+    np.add.at(expected, word, slope * vectors[:, :-1])
+    assert back == pytest.approx(expected, abs=1e-4)
+    sums = np.zeros(given.shape)
+    np.add.at(sums[:, :-1], around.reshape(-1), np.tile(own, (4, 1)))
+    np.add.at(sums, pseudo.NODES + node, slope * inputs)
+    squares = (sums**2).sum(axis=1) / pseudo.WIDTH
+    plain = given - pseudo.WORD_RATE * sums / np.sqrt(1 + squares)[:, None]
+    assert np.allclose(words.state[:, :-1], plain, atol=1e-4) and np.allclose(words.state[:, -1], squares, rtol=1e-3)
+    words.see(around, targets)
+    assert (words.seen() == np.bincount(keys, minlength=pseudo.ROWS)).all()
+
+
 def test_gradients_within_classes():
     rng = np.random.default_rng(3)
     counts = np.zeros(pseudo.BUCKETS, np.int64)
